@@ -117,12 +117,12 @@ def matched(source: str, out: str, key: str, vector: str) -> str:
 CLUSTERS = f"""{matched("cen", "tm", "cluster_id", "c")},
 times AS (SELECT cluster_id, count(*) AS size, min(joined_at) AS created_at, max(joined_at) AS last_post_at
   FROM mem GROUP BY 1),
-asof AS (SELECT max(created_at) AS as_of FROM vec),
+newest AS (SELECT max(created_at) AS as_of FROM vec),
 clusters AS MATERIALIZED (SELECT cluster_id, size, created_at, last_post_at, c AS centroid, topic, topic_similarity,
   cluster_id LIKE '%-error' AS alert_sent,
   CASE WHEN as_of - last_post_at > INTERVAL {t.EXPIRY_HOURS} HOUR THEN 'expired'
        WHEN cluster_id LIKE '%-error' THEN 'alerted' ELSE 'active' END AS status
-  FROM times JOIN cen USING (cluster_id) JOIN tm USING (cluster_id), asof)"""
+  FROM times JOIN cen USING (cluster_id) JOIN tm USING (cluster_id), newest)"""
 COHERENCE = """coh0 AS (SELECT a.cluster_id, list_dot_product(a.u, b.u) AS s
   FROM mem a JOIN mem b ON a.cluster_id = b.cluster_id AND a.post_id < b.post_id),
 coh AS MATERIALIZED (SELECT m.cluster_id, CASE WHEN m.n < 2 THEN 1.0 ELSE coalesce(p.a, 0.0) END AS coherence
