@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["text", "vectors", "clusters", "quality", "windows", "alerts"]
+_MODULES = ["text", "vectors", "clusters", "quality", "windows", "alerts", "reports", "state", "streams"]
 
 
 def _collect(attribute: str) -> dict:

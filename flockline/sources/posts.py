@@ -17,8 +17,12 @@ def read_posts(
 
 
 def write_posts(posts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per line, UTF-8, so that readers can split the files."""
-    posts.write.mode(mode).option("encoding", "UTF-8").json(path)
+    """One JSON object per line, UTF-8, so that readers can split the files.
+
+    Times keep their microseconds; the writer's default format would cut them.
+    """
+    writer = posts.write.mode(mode).option("encoding", "UTF-8")
+    writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def _with_columns(raw: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ class _Cooldown(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at_us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Only ids and times are held, in event order within the micro-batch.
         parts = [(pdf["alert_id"].to_numpy(), pdf["at_us"].to_numpy(dtype="int64")) for pdf in rows]
         ids = np.concatenate([p[0] for p in parts])
@@ -70,9 +70,9 @@ class _Cooldown(StatefulProcessor):
             {"fingerprint": key[0], "alert_id": ids[order], "at_us": at[order], "kept": kept}
         )
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A later pass may have moved the time on; its own timer will follow.
-        due = expired_timer_info.get_expiry_time_in_ms()
+        due = expiredTimerInfo.getExpiryTimeInMs()
         if self.last.exists() and self.last.get()[0] // 1000 + self.cooldown_ms + 1 <= due:
             self.last.clear()
         return iter([])
