@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def _literals(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
+
+    Common subexpressions are not shared inside lambda functions; a transform
+    over a one-element array binds the value instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_text(text: Column) -> Column:
     """Lower-case, strip links, mentions, punctuation and digits; keep emoticons at the end."""
     flat = F.lower(F.coalesce(text, F.lit("")))
@@ -20,9 +31,13 @@ def clean_text(text: Column) -> Column:
     flat = F.regexp_replace(flat, K.MENTION_PATTERN, "")
     flat = F.regexp_replace(flat, K.HASHTAG_PATTERN, "$1")
     flat = F.regexp_replace(flat, r"(?U)\s+", " ")
-    emoticons = F.regexp_extract_all(flat, F.lit(K.EMOTICON_PATTERN), F.lit(1))
-    body = F.concat_ws(" ", F.translate(flat, K.PUNCTUATION, ""), F.array_join(emoticons, " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(body, r"(?U)\d+", ""), r"(?U)\s+", " "))
+
+    def finish(u: Column) -> Column:
+        emoticons = F.regexp_extract_all(u, F.lit(K.EMOTICON_PATTERN), F.lit(1))
+        body = F.concat_ws(" ", F.translate(u, K.PUNCTUATION, ""), F.array_join(emoticons, " "))
+        return F.trim(F.regexp_replace(F.regexp_replace(body, r"(?U)\d+", ""), r"(?U)\s+", " "))
+
+    return let(flat, finish)
 
 
 def words(text: Column) -> Column:

@@ -6,10 +6,13 @@ set under the order (ts, id). It decides both cluster leaders and kept alerts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flockline.operators.kernel import Rule, match_rows
 from flockline.session import materialize
@@ -20,54 +23,80 @@ PREFIX_GROWTH = 8
 MAX_ROUNDS = 500
 
 
+def _resolve(rows: DataFrame) -> DataFrame:
+    """Decide what a task can decide alone, in order, over its own range of the order.
+
+    Links only point to earlier rows, so a task walks its sorted range once: a
+    row with a leading neighbour is dominated, one without open neighbours leads,
+    and one that waits for rows of an earlier range stays open.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for pdf in batches:
+            status, waiting = [], []
+            for pid, nbs, cut, led in zip(pdf["id"], pdf["nbs"], pdf["cut"], pdf["led"]):
+                around = [(nb, seen.get(nb)) for nb in nbs]
+                open_nbs = [nb for nb, s in around if s != "D"]
+                if led or any(s == "L" for _, s in around):
+                    mark, open_nbs = "D", []
+                elif not open_nbs and not cut:
+                    mark = "L"
+                else:
+                    mark = None
+                seen[pid] = mark
+                status.append(mark)
+                waiting.append(open_nbs)
+            yield pdf.assign(nbs=waiting, status=status)
+
+    placed = rows.repartitionByRange("ts", "id").sortWithinPartitions("ts", "id")
+    schema = T.StructType([*rows.schema.fields, T.StructField("status", T.StringType())])
+    return placed.mapInPandas(walk, schema)
+
+
 def _settle(batch: DataFrame, edges: DataFrame, neighbours: int) -> DataFrame:
     """(id, status): L leads, D is dominated, null is open because its list was cut.
 
     ``edges`` holds the first ``neighbours + 1`` earlier matches of each row;
     a row with more than ``neighbours`` may have unseen ones, so it can be
-    dominated but not made a leader here.
+    dominated but not made a leader here. Each round resolves whole ranges of
+    the order, so the number of rounds follows the number of ranges that depend
+    on each other, not the length of a chain of rows.
     """
-    counts = edges.groupBy("id").agg((F.count("*") > neighbours).alias("cut"), F.lit(True).alias("linked"))
-    state = materialize(
-        batch.select("id")
-        .join(counts, "id", "left")
-        .select(
-            "id",
-            F.coalesce("cut", F.lit(False)).alias("cut"),
-            F.when(F.col("linked").isNull(), "L").alias("status"),
-        ),
-        "state",
+    kind = batch.schema["id"].dataType
+    none = F.array().cast(T.ArrayType(kind))
+    lists = edges.groupBy("id").agg(
+        F.collect_list("match_id").alias("nbs"), (F.count("*") > neighbours).alias("cut")
+    )
+    rows = batch.select("id", "ts").join(lists, "id", "left")
+    rows = rows.withColumn("nbs", F.coalesce("nbs", none)).withColumn(
+        "cut", F.coalesce("cut", F.lit(False))
     )
-    links = edges.select("id", F.col("match_id").alias("nb"))
-    open_rows = state.filter("status IS NULL").count()
+    state = materialize(_resolve(rows.withColumn("led", F.lit(False))), "state")
+    open_n = state.filter("status IS NULL").count()
     for _ in range(MAX_ROUNDS):
-        if not open_rows:
-            return state
-        around = (
-            links.join(state.filter("status IS NULL").select("id"), "id", "left_semi")
-            .join(state.select(F.col("id").alias("nb"), F.col("status").alias("nb_status")), "nb")
+        if not open_n:
+            return state.select("id", "status")
+        waits = state.filter("status IS NULL")
+        decided = state.filter("status IS NOT NULL")
+        known = (
+            waits.select("id", F.explode("nbs").alias("nb"))
+            .join(state.select(F.col("id").alias("nb"), "status"), "nb")
             .groupBy("id")
             .agg(
-                F.max(F.coalesce(F.col("nb_status") == "L", F.lit(False))).alias("led"),
-                F.max(F.col("nb_status").isNull()).alias("waits"),
+                F.collect_list(F.when(F.col("status").isNull(), F.col("nb"))).alias("nbs"),
+                F.max(F.coalesce(F.col("status") == "L", F.lit(False))).alias("led"),
             )
         )
-        state = materialize(
-            state.join(around, "id", "left").select(
-                "id",
-                "cut",
-                F.coalesce(
-                    "status",
-                    F.when(F.col("led"), "D").when(~F.col("waits") & ~F.col("cut"), "L"),
-                ).alias("status"),
-            ),
-            "state",
+        again = waits.select("id", "ts", "cut").join(known, "id", "left").select(
+            "id", "ts", F.coalesce("nbs", none).alias("nbs"), "cut", F.coalesce("led", F.lit(False)).alias("led")
         )
+        state = materialize(decided.unionByName(_resolve(again)), "state")
         left = state.filter("status IS NULL").count()
-        if left == open_rows:
-            return state
-        open_rows = left
-    raise RuntimeError(f"selection still open after {MAX_ROUNDS} rounds: {open_rows} rows")
+        if left == open_n:
+            return state.select("id", "status")
+        open_n = left
+    raise RuntimeError(f"selection still open after {MAX_ROUNDS} rounds: {open_n} rows")
 
 
 def first_independent(

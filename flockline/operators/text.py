@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockline import schemas
@@ -13,10 +15,23 @@ from flockline.functions import text as tx
 from flockline.functions import vectors as vx
 
 
+def derive(df: DataFrame, value: Column, fields: Callable[[Column], Column]) -> DataFrame:
+    """Add the fields of the struct ``fields(value)``, each evaluated once per row.
+
+    The struct comes from a generator, so a later filter on one of its fields
+    is not pushed below it, which would evaluate the whole expression again.
+    """
+    made = df.select("*", F.explode(F.transform(F.array(value), fields)).alias("__made"))
+    return made.select(*df.columns, "__made.*")
+
+
 def prepare_posts(posts: DataFrame) -> DataFrame:
     """Add ``cleaned_text`` (stop words gone) and ``is_meaningful``; null text never fails."""
-    cleaned = posts.withColumn("cleaned_text", tx.remove_stop_words(tx.clean_text(F.col("text"))))
-    return cleaned.withColumn("is_meaningful", tx.is_meaningful(F.col("cleaned_text")))
+    return derive(
+        posts,
+        tx.remove_stop_words(tx.clean_text(F.col("text"))),
+        lambda c: F.struct(c.alias("cleaned_text"), tx.is_meaningful(c).alias("is_meaningful")),
+    )
 
 
 def meaningful_posts(prepared: DataFrame) -> DataFrame:
@@ -141,16 +156,17 @@ def embed_posts(
         [str(i) for i in range(2 * dim)], inputCol="__slots", outputCol="__counts"
     )
     counted = counter.transform(posts.withColumn("__slots", slots))
-    both = vector_to_array(F.col("__counts"))
-    signed = F.zip_with(
-        F.slice("__both", 1, dim), F.slice("__both", dim + 1, dim), lambda p, n: p - n
-    )
-    return (
-        counted.withColumn("__both", both)
-        .withColumn("__signed", signed)
-        .withColumn(output_col, vx.normalize(F.col("__signed")))
-        .drop("__slots", "__counts", "__both", "__signed")
+    unit = derive(
+        counted,
+        vector_to_array(F.col("__counts")),
+        lambda both: F.struct(
+            tx.let(
+                F.zip_with(F.slice(both, 1, dim), F.slice(both, dim + 1, dim), lambda p, n: p - n),
+                vx.normalize,
+            ).alias("__unit")
+        ),
     )
+    return unit.withColumn(output_col, F.col("__unit")).drop("__slots", "__counts", "__unit")
 
 
 def embed_with(posts: DataFrame, encode, text_col: str = "cleaned_text") -> DataFrame:

@@ -14,6 +14,7 @@ from flockline.operators import clustering as cl
 from flockline.operators import reports as rp
 from flockline.operators import text as to
 from flockline.operators import windows as wi
+from flockline.session import materialize, spread
 
 DIM = 64
 THETA = 0.3  # the given vectors have no near copies: few pairs lie above it
@@ -67,7 +68,8 @@ class Tables:
             F.when(doc % 5 == 0, F.concat(F.lit(" @user"), "user_id")).otherwise(""),
             F.when(doc % 11 == 0, " :) top-notch").otherwise(""),
         )
-        joined = self.read("documents").join(self.events, F.col("event_id") == doc)
+        documents = spread(self.read("documents"), "doc_id")
+        joined = documents.join(self.events, F.col("event_id") == doc)
         value = F.col("value")
         return joined.select(
             doc.alias("id"),
@@ -144,8 +146,6 @@ class Tables:
 
     @cached_property
     def deduped(self) -> DataFrame:
-        from flockline.session import materialize
-
         return materialize(
             al.dedupe_alerts(self.drafts, None, ALERT_SIMILARITY, ALERT_COOLDOWN_HOURS), "deduped"
         )

@@ -20,6 +20,7 @@ from flockline.operators.clustering import assign_incremental, feature_centroids
 from flockline.operators.text import embed_posts, prepare_posts
 from flockline.operators.vectors import topic_match
 from flockline.operators.windows import is_expired
+from flockline.session import materialize, spread
 
 CLUSTERS = (
     "cluster_id string, n bigint, linear_sum array<double>, square_sum double, "
@@ -79,13 +80,15 @@ class StreamEngine:
         self._alert(version)
 
     def _assign(self, batch: DataFrame, version: int) -> None:
-        prepared = prepare_posts(batch).filter("is_meaningful")
+        prepared = prepare_posts(spread(batch, "id")).filter("is_meaningful")
         embed = self.embed or (lambda posts: embed_posts(posts, self.dim))
-        vectors = embed(prepared).select("id", "created_at", "embedding")
+        vectors = materialize(
+            embed(prepared).select("id", "created_at", "cleaned_text", "embedding"), "vectors"
+        )
         old = self.clusters(before=version)
         live = old.filter("status = 'active'").select("cluster_id", "n", "linear_sum", "square_sum")
         members, merged = assign_incremental(live, vectors, self.threshold)
-        texts = prepared.select(F.col("id").alias("post_id"), "cleaned_text")
+        texts = vectors.select(F.col("id").alias("post_id"), "cleaned_text")
         self._write(
             members.join(texts, "post_id").select(
                 "cluster_id",
