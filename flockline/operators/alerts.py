@@ -72,14 +72,17 @@ def alert_ready_at(members: DataFrame, min_size: int = K.MIN_CLUSTER_SIZE) -> Da
 
 
 def ranked_words(
-    members: DataFrame, prepared: DataFrame, top_k: int = 5, alphabetic: bool = True
+    members: DataFrame, prepared: DataFrame | None = None, top_k: int = 5, alphabetic: bool = True
 ) -> DataFrame:
-    """(cluster_id, rank, word, n): most frequent long words, ties to the first seen."""
-    texts = prepared.select(F.col("id").alias("post_id"), "cleaned_text")
+    """(cluster_id, rank, word, n): most frequent long words, ties to the first seen.
+
+    Without ``prepared`` the members themselves carry ``cleaned_text``.
+    """
+    if prepared is not None:
+        texts = prepared.select(F.col("id").alias("post_id"), "cleaned_text")
+        members = members.select("cluster_id", "post_id", "joined_at").join(texts, "post_id")
     tokens = (
-        members.select("cluster_id", "post_id", "joined_at")
-        .join(texts, "post_id")
-        .select("cluster_id", "post_id", "joined_at", F.posexplode(tx.words(F.col("cleaned_text"))).alias("pos", "word"))
+        members.select("cluster_id", "post_id", "joined_at", F.posexplode(tx.words(F.col("cleaned_text"))).alias("pos", "word"))
         .filter(F.length("word") > 3)
     )
     if alphabetic:
@@ -100,7 +103,7 @@ def _word_lists(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("cluster_id").agg(F.transform(listed, lambda w: w["word"]).alias("keywords"))
 
 
-def cluster_keywords(members: DataFrame, prepared: DataFrame, top_k: int = 5) -> DataFrame:
+def cluster_keywords(members: DataFrame, prepared: DataFrame | None = None, top_k: int = 5) -> DataFrame:
     return _word_lists(ranked_words(members, prepared, top_k))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,9 +91,6 @@ def cluster_features(members: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def merge_features(left: DataFrame, right: DataFrame) -> DataFrame:
     """Features of the union of two disjoint member sets."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     both = left.unionByName(right)
     return (
         both.groupBy("cluster_id")
@@ -174,9 +175,6 @@ def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> Da
     grouped around leaders whose spread still fits the bound. The mean has the
     least spread, so a group's true radius stays within it.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = vectors.select(
         F.unix_micros("created_at").alias("ts"), "id", vx.doubles(F.col("embedding")).alias("vec")
     )

@@ -121,23 +121,63 @@ def _top(i: np.ndarray, j: np.ndarray, score: np.ndarray, rule: Rule):
     """Keep k matches per probe; home rows are in (ts, id) order, so j breaks ties."""
     if rule.keep == "all" or not len(i):
         return i, j, score
-    order = np.lexsort((j, i)) if rule.keep == "first" else np.lexsort((j, -score, i))
-    i, j, score = i[order], j[order], score[order]
+    if rule.keep == "best":
+        order = np.lexsort((j, -score, i))
+        i, j, score = i[order], j[order], score[order]
+    elif (i[1:] < i[:-1]).any():  # one tile comes out in (i, j) order already
+        order = np.lexsort((j, i))
+        i, j, score = i[order], j[order], score[order]
     starts = np.nonzero(np.r_[True, i[1:] != i[:-1]])[0]
     rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
     top = rank < rule.k
     return i[top], j[top], score[top]
 
 
+def _best_dense(p: Block, h: Block, rule: Rule):
+    """The single best match of each probe in a tile, without listing the others."""
+    score = _round6(p.vec @ h.vec.T)
+    out = score <= rule.theta if rule.strict else score < rule.theta
+    if rule.earlier:
+        out |= h.ts[None, :] >= p.ts[:, None]
+        i, j = np.nonzero(h.ts[None, :] == p.ts[:, None])
+        tied = h.ids[j] < p.ids[i]
+        i, j = i[tied], j[tied]
+        near = score[i, j] > rule.theta if rule.strict else score[i, j] >= rule.theta
+        out[i[near], j[near]] = False
+    score[out] = -np.inf
+    j = score.argmax(1)
+    i = np.arange(len(j))
+    best = score[i, j]
+    found = best > -np.inf
+    return i[found], j[found], best[found]
+
+
 def compare(probe: Block, home: Block, rule: Rule) -> Iterator[pd.DataFrame]:
-    """Matches of a probe batch in one home block, tile by tile."""
+    """Matches of a probe batch in one home block, tile by tile.
+
+    With ``earlier`` probes are taken in time order, so tiles of later home rows
+    are skipped; with ``keep="first"`` a probe leaves once it has its k matches.
+    """
+    dense = rule.keep == "best" and rule.k == 1 and not (rule.tag or rule.slack) and rule.max_age is None
+    if rule.earlier:
+        probe = probe.part(np.argsort(probe.ts, kind="stable"))
     for a in range(0, len(probe.ids), _TILE):
         p = probe.part(slice(a, a + _TILE))
+        open_rows = np.arange(len(p.ids))
+        have = np.zeros(len(p.ids), dtype=int)
         found: list[tuple] = []
         for b in range(0, len(home.ids), 2 * _TILE):
-            i, j, score = _top(*_tile_matches(p, home.part(slice(b, b + 2 * _TILE)), rule), rule)
+            h = home.part(slice(b, b + 2 * _TILE))
+            if not len(open_rows) or (rule.earlier and h.ts[0] > p.ts[-1]):
+                break
+            q = p if len(open_rows) == len(p.ids) else p.part(open_rows)
+            i, j, score = _best_dense(q, h, rule) if dense else _top(*_tile_matches(q, h, rule), rule)
             if len(i):
+                i = open_rows[i]
                 found.append((i, j + b, score))
+                if rule.keep == "first":
+                    have += np.bincount(i, minlength=len(have))
+                    open_rows = np.nonzero(have < rule.k)[0]
         if found:
             i, j, score = _top(*(np.concatenate(x) for x in zip(*found)), rule)
             yield pd.DataFrame(
@@ -252,9 +292,15 @@ def _chunked(home: DataFrame, probe: DataFrame, rule: Rule, rows: int, schema) -
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .drop("chunks", "salts")
     )
-    return stream_blocks(
-        h, p, ["cell", "chunk", "salt"], lambda key, b, q: compare(q, b, rule), schema
+    # One table holds both sides, so ids of different types travel as strings.
+    types = (schema["id"].dataType, schema["match_id"].dataType)
+    if types[0] != types[1]:
+        h, p = h.withColumn("id", F.col("id").cast("string")), p.withColumn("id", F.col("id").cast("string"))
+    carried = T.StructType([T.StructField(f.name, h.schema["id"].dataType) for f in schema.fields[:2]] + schema.fields[2:])
+    found = stream_blocks(
+        h, p, ["cell", "chunk", "salt"], lambda key, b, q: compare(q, b, rule), carried
     )
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def _distances(df: DataFrame, pivots: np.ndarray, fn, extra: list[T.StructField]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flockline import schemas
@@ -121,8 +123,6 @@ def hashtag_topic(posts: DataFrame, rules: dict[str, str] | None = None) -> Data
 
 def topic_share(tagged: DataFrame) -> DataFrame:
     """Posts and percentage per topic."""
-    from pyspark.sql import Window
-
     counts = tagged.groupBy("topic").agg(F.count("*").alias("posts"))
     share = F.col("posts") * 100.0 / F.sum("posts").over(Window.partitionBy())
     return counts.withColumn("percentage", share)
@@ -171,9 +171,6 @@ def embed_posts(
 
 def embed_with(posts: DataFrame, encode, text_col: str = "cleaned_text") -> DataFrame:
     """Unit vectors from any model: ``encode()`` builds, once per task, a ``list[str] -> ndarray``."""
-    import numpy as np
-    import pandas as pd
-    from collections.abc import Iterator
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -197,9 +199,6 @@ def running_centroid(
 
 
 def _fold_slice(part: DataFrame, state: DataFrame | None) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
     rows = part.select("cluster_id", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("kind"), "ts", "id", "vec")
     if state is not None:
         start = state.select(

@@ -138,13 +138,11 @@ class StreamEngine:
         return topic_match(table, self.topics, "centroid")
 
     def _alert(self, version: int) -> None:
-        view = self.cluster_view(version)
+        view = materialize(self.cluster_view(version), "view")
         now = F.lit(view.agg(F.max("last_post_at")).head()[0])
         ready = al.alert_candidates(view, self.min_size, self.topic_similarity)
         own = self._all("members", MEMBERS, version + 1).join(ready.select("cluster_id"), "cluster_id", "left_semi")
-        texts = own.select(F.col("post_id").alias("id"), "cleaned_text")
-        words = al.cluster_keywords(own, texts)
-        drafts = al.alert_drafts(ready, words, now)
+        drafts = materialize(al.alert_drafts(ready, al.cluster_keywords(own), now), "drafts")
         past = al.alert_cooldown(self.alerts(before=version), now, self.cooldown_hours)
         deduped = al.dedupe_alerts(drafts, past, self.duplicate_similarity, self.cooldown_hours)
         recorded = al.record_alerts(deduped, self.duplicate_similarity)
