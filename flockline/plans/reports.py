@@ -141,10 +141,10 @@ def topic_similarity_avg(spark, path):
 
 
 def pipeline_counts(spark, path):
-    """Posts and kept alerts per day as batches; a post without a plausible author is an error."""
+    """Posts and kept alerts per day as batches; posts of one source lack an author and are errors."""
     t = Tables(spark, path)
     day = F.date_format("created_at", "yyyy-MM-dd")
-    author = F.when(F.col("author_id") % 10 != 0, F.col("author_username"))
+    author = F.when(F.col("source") != "src3", F.col("author_username"))
     raw = t.posts.withColumn("post_id", F.col("id")).withColumn("author_username", author)
     checked = check_posts(raw, F.lit(None).cast("timestamp")).withColumn("batch", day)
     alerts = t.alerts.withColumn("batch", F.date_format("alerted_at", "yyyy-MM-dd"))
@@ -276,8 +276,8 @@ ORACLES = {
             *s.ALR,
             "sent AS (SELECT strftime(alerted_at, '%Y-%m-%d') AS batch, count(*) AS n FROM deduped WHERE kept GROUP BY 1)",
         ],
-        f"SELECT batch, processed, errors, last_processing_time, coalesce(n, 0) AS alerts_sent FROM (SELECT strftime(created_at, '%Y-%m-%d') AS batch, count(*) FILTER (author_id % 10 <> 0) AS processed, "
-        f"count(*) FILTER (author_id % 10 = 0) AS errors, {s.stamp('max(created_at)')} AS last_processing_time FROM posts GROUP BY 1) LEFT JOIN sent USING (batch)",
+        f"SELECT batch, processed, errors, last_processing_time, coalesce(n, 0) AS alerts_sent FROM (SELECT strftime(created_at, '%Y-%m-%d') AS batch, count(*) FILTER (source <> 'src3') AS processed, "
+        f"count(*) FILTER (source = 'src3') AS errors, {s.stamp('max(created_at)')} AS last_processing_time FROM posts GROUP BY 1) LEFT JOIN sent USING (batch)",
     ),
     "text_report": s.query(
         [*s.REP, _STATS, s.LEADERS, s.OUTCOMES, _PROC],
