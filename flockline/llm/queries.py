@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockline.llm import lines, minhash, mixing, reputation
+from flockline.llm import langid, lines, minhash, mixing, packing, reputation, topk
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_source_mixing(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix(read(spark, path, "documents")).drop("source", "copies")
 
 
+def op4_language_id(spark: SparkSession, path: str) -> DataFrame:
+    return langid.identify(read(spark, path, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_curve_packing(spark: SparkSession, path: str) -> DataFrame:
+    return packing.pack(read(spark, path, "documents"))
+
+
 def op8_url_reputation(spark: SparkSession, path: str) -> DataFrame:
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
     outcomes = read(spark, path, "labels").select(F.col("doc_id").alias("page_id"), good).filter("good IS NOT NULL")
@@ -30,11 +38,18 @@ def op9_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     return lines.dedup_lines(read(spark, path, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_exact_topk(spark: SparkSession, path: str) -> DataFrame:
+    return topk.top_k(read(spark, path, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mixing": op2_source_mixing,
+    "op4_language_id": op4_language_id,
+    "op7_curve_packing": op7_curve_packing,
     "op8_url_reputation": op8_url_reputation,
     "op9_line_dedup": op9_line_dedup,
+    "op10_exact_topk": op10_exact_topk,
 }
 ORACLES: dict[str, str] = {
     "op2_source_mixing": f"WITH {mixing.mix_sql('documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
