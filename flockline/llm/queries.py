@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockline.llm import langid, lines, minhash, mixing, packing, reputation, topk
+from flockline.llm import hnsw, langid, lines, minhash, mixing, packing, reputation, suffixes, topk
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -20,10 +20,18 @@ def op2_source_mixing(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix(read(spark, path, "documents")).drop("source", "copies")
 
 
+def op3_embedding_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, path, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, path: str) -> DataFrame:
     return langid.identify(read(spark, path, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return suffixes.dedup_substrings(read(spark, path, "documents"))
+
+
 def op7_curve_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(read(spark, path, "documents"))
 
@@ -45,7 +53,9 @@ def op10_exact_topk(spark: SparkSession, path: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mixing": op2_source_mixing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_curve_packing": op7_curve_packing,
     "op8_url_reputation": op8_url_reputation,
     "op9_line_dedup": op9_line_dedup,
