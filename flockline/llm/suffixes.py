@@ -137,28 +137,30 @@ def _sort_directly(data: np.ndarray, found: np.ndarray, depth: int) -> np.ndarra
     key = eight[found].astype("uint64")
     order = np.argsort(key, kind="stable")
     found, prints, key = found[order], prints[order], key[order]
-    active, group = np.arange(len(found)), key
+    active, group, fresh = np.arange(len(found)), key, True
     for at in range(8, depth, 8):
-        # of the groups, keep those of several suffixes that are not all equal
-        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
-        size = np.diff(np.append(edge, len(group)))
-        several = np.repeat(size > 1, size)
-        active, size = active[several], size[size > 1]
+        if fresh:  # of the groups, keep those of several suffixes that are not all equal
+            edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+            size = np.diff(np.append(edge, len(group)))
+            active, size = active[np.repeat(size > 1, size)], size[size > 1]
+            edge = np.cumsum(size) - size
+            mine = prints[active]
+            mixed = np.minimum.reduceat(mine, edge) != np.maximum.reduceat(mine, edge) if len(size) else size > 1
+            active, size = active[np.repeat(mixed, size)], size[mixed]
+            edge = np.cumsum(size) - size
+            name = np.repeat(np.arange(len(size)), size)
         if not len(active):
             break
-        edge = np.cumsum(size) - size
-        mine = prints[active]
-        mixed = np.minimum.reduceat(mine, edge) != np.maximum.reduceat(mine, edge)
-        active, size = active[np.repeat(mixed, size)], size[mixed]
-        if not len(active):
-            break
-        name = np.repeat(np.arange(len(size)), size)
-        who = found[active]
-        key = eight[np.minimum(who + at, end)].astype("uint64")
-        order = np.lexsort((key, name))
-        key = key[order]
-        found[active], prints[active] = who[order], prints[active][order]
-        group = np.cumsum(np.concatenate([[False], (name[1:] != name[:-1]) | (key[1:] != key[:-1])]))
+        key = eight[np.minimum(found[active] + at, end)].astype("uint64")
+        parted = np.minimum.reduceat(key, edge) != np.maximum.reduceat(key, edge)
+        fresh = bool(parted.any())
+        if fresh:
+            rows = np.flatnonzero(np.repeat(parted, size))
+            order = np.lexsort((key[rows], name[rows]))
+            key[rows] = key[rows][order]
+            places = active[rows]
+            found[places], prints[places] = found[places][order], prints[places][order]
+            group = np.cumsum(np.concatenate([[False], (name[1:] != name[:-1]) | (key[1:] != key[:-1])]))
     return found
 
 
@@ -241,7 +243,9 @@ def _spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle(window: int):
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf["bytes"].tolist()
+        # equal parts are repeated from end to end; one of them stands for all in the array
+        one = pdf["bytes"].map(pdf["bytes"].value_counts(sort=False)).to_numpy() == 1
+        parts = pdf["bytes"].drop_duplicates().tolist()
         data = np.frombuffer(bytes([_GAP]).join(parts) + bytes([_GAP]), "uint8")
         size = np.array([len(p) for p in parts])
         base = np.cumsum(size + 1) - size - 1
@@ -251,8 +255,15 @@ def _settle(window: int):
         found = repeated(data, np.cumsum(mark[:-1]) > 0, window)
         lo, hi = _spans(found)  # runs of starts; each lies in one part, as starts of two parts never touch
         part = np.searchsorted(base, lo, "right") - 1
-        shift = pdf["lo"].to_numpy()[part] - base[part]
-        return pd.DataFrame({"sha": pdf["sha"].to_numpy()[part], "lo": lo + shift, "hi": hi + shift - 1 + window})
+        single = pdf[one].set_index("bytes")["lo"].reindex(parts).to_numpy()  # none for parts that stand for several
+        sha = pdf[one].set_index("bytes")["sha"].reindex(parts).to_numpy()
+        own = ~np.isnan(single[part])
+        lo, hi, part = lo[own], hi[own], part[own]
+        shift = single[part].astype("int64") - base[part]
+        alone = pd.DataFrame({"sha": sha[part], "lo": lo + shift, "hi": hi + shift - 1 + window})
+        many = pdf[~one]
+        whole = pd.DataFrame({"sha": many["sha"], "lo": many["lo"], "hi": many["lo"] + many["bytes"].str.len()})
+        return pd.concat([alone, whole]).astype({"lo": "int64", "hi": "int64"})
 
     return shard
 
