@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flockline.llm.components import components
+from flockline.llm.components import components, extended
 from flockline.llm.hashing import mix, numbers, shingle_sets
 from flockline.session import discard, materialize
 
@@ -227,15 +227,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         return found.filter(matches(F.col("sig_a"), F.col("sig_b")) >= near.least_match).select("a", "b")
 
     tried = materialize(candidates(members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))), "pairs")
-    links = [materialize(confirm(tried, texts, near), "links")]
+    links = materialize(confirm(tried, texts, near), "links")
+    label = materialize(components(links), "label")
 
     def apart() -> DataFrame:
         """Members of buckets that still hold several components."""
-        found = links[0]
-        for more in links[1:]:
-            found = found.union(more)
-        label = components(found).select(F.col("id").alias("doc"), "component_id")
-        labelled = members.join(label, "doc", "left").select("key", "doc", F.coalesce("component_id", "doc").alias("component"))
+        own = label.withColumnRenamed("id", "doc")
+        labelled = members.join(own, "doc", "left").select("key", "doc", F.coalesce("component_id", "doc").alias("component"))
         labelled = materialize(labelled, "labelled")
         mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         out = materialize(labelled.join(mixed.filter("lo < hi").select("key"), "key", "left_semi"), "apart")
@@ -244,28 +242,28 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     left = apart()
     if not left.isEmpty():
-        degree = links[0].select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").count()
+        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").count()
         ranked = left.join(degree, "doc", "left").withColumn("count", F.coalesce("count", F.lit(0)))
         order = F.struct("count", (-F.col("doc")).alias("minus"), "doc", F.col("component").alias("home"))
         top = ranked.groupBy("key").agg(F.max(order).alias("top"))
         stars = left.join(top.select("key", F.col("top.doc").alias("a"), "top.home"), "key")
         stars = stars.filter("component <> home").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b"))
         fresh = materialize(candidates(stars.join(tried, ["a", "b"], "left_anti")), "pairs")
-        links.append(materialize(confirm(fresh, texts, near), "links"))
-        discard(left)
-        left = apart()
+        more = materialize(confirm(fresh, texts, near), "links")
+        if not more.isEmpty():
+            label = extended(label, more)
+            discard(left)
+            left = apart()
         if not left.isEmpty():
             seen = tried.union(fresh)
             pairs = _cross_pairs(left.join(bits, "doc"), near).join(seen, ["a", "b"], "left_anti")
-            links.append(materialize(confirm(materialize(pairs, "pairs"), texts, near), "links"))
-        discard(fresh)
-    discard(left, tried, texts, members)
-
-    found = links[0]
-    for more in links[1:]:
-        found = found.union(more)
-    label = components(found).withColumnRenamed("id", "rep")
-    of_set = sets.select(*key, "rep").join(label, "rep", "left")
+            pairs = materialize(pairs, "pairs")
+            label = extended(label, materialize(confirm(pairs, texts, near), "links"))
+            discard(pairs)
+        discard(fresh, more)
+    discard(left, tried, links, texts, members)
+
+    of_set = sets.select(*key, "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     of_set = of_set.select(*key, F.coalesce("component_id", "rep").alias("component_id"))
     named = some.select("doc_id", *key).join(of_set, key).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
