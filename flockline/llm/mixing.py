@@ -109,9 +109,9 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mixed table itself: each row of ``docs`` as often as the mix takes it, columns unchanged."""
     counts = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    counts = counts.select(F.col("doc_id").alias("mix_id"), "copies")
+    counts = counts.select(F.col("doc_id").alias("mix_id"), F.col("copies").alias("mix_copies"))
     joined = docs.join(counts, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")))
-    each = F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) END"))
+    each = F.explode(F.expr("CASE WHEN mix_copies > 0 THEN sequence(1, mix_copies) END"))
     return joined.select(*[docs[c] for c in docs.columns], each.alias("mix_copy")).drop("mix_copy")
 
 

@@ -20,6 +20,7 @@ from flockline.session import discard, materialize
 
 QUERIES, CANDIDATES, TILE = 1024, 16384, 4096  # rows of a cell's two blocks, and of one product
 BINS = 1024
+END = (1 << 62) - 1  # largest score
 
 
 def whole(vectors: DataFrame, scale: int) -> DataFrame:
@@ -36,12 +37,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles while these are exact, else with whole numbers, held to the range of a long."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if bound < 2.0**53:
-        return (a.astype("float64") @ b.astype("float64").T).astype("int64")
+    """Integer inner products: in doubles while these are exact, else with whole numbers, held between the ends."""
+    x, y = a.astype("float64"), b.astype("float64")
+    if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * max(a.shape[1], 1) < 2.0**53:
+        return (x @ y.T).astype("int64")
     exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype("int64")
+    return np.clip(exact, -END, END).astype("int64")
 
 
 def _cells(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -139,12 +140,12 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
     components, and rows without an id, take no part; equal rows count once, and of
     several vectors of one id the smallest is the query. Ties go to the smaller id; a
     query with fewer candidates than ``k`` returns them all, one without any no row.
-    Scores beyond the range of a long count as its ends. Other columns are ignored.
+    Scores beyond 2**62 - 1 either way count as that. Other columns are ignored.
     """
     rows = materialize(whole(vectors, scale), "whole")
-    peak = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    reach = min(int(peak or 0) * 1.0001 + 1, (1 << 62) - 1)  # no product exceeds the largest square
-    low, width = -int(reach), -(-(2 * int(reach) + 1) // BINS)
+    peak = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
+    reach = min(int(float(peak or 0) * 1.0001) + 1, END)  # no product exceeds the largest square
+    low, width = -reach, -(-(2 * reach + 1) // BINS)
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = materialize(asked.withColumns({"low": F.lit(low), "width": F.lit(width)}), "queries")
     while True:
