@@ -133,9 +133,9 @@ def _alert_nodes(alerts: DataFrame) -> DataFrame:
     )
 
 
-def _conflict(similarity: float, cooldown_hours: float) -> Rule:
+def _conflict(similarity: float, cooldown_hours: float, earlier: bool = True) -> Rule:
     return Rule(
-        theta=similarity, strict=True, tag=True, earlier=True, max_age=int(cooldown_hours * _HOUR)
+        theta=similarity, strict=True, tag=True, earlier=earlier, max_age=int(cooldown_hours * _HOUR)
     )
 
 
@@ -150,13 +150,15 @@ def dedupe_alerts(
 
     Alike means the same fingerprint or a cosine above ``similarity``. Alerts
     that were suppressed suppress nothing, so this is the same selection that
-    chooses cluster leaders. Alerts of ``history`` count as kept.
+    chooses cluster leaders. Alerts of ``history`` were sent before all drafts:
+    they suppress within the cooldown, whatever their times and ids.
     """
     rule = _conflict(similarity, cooldown_hours)
     rows = materialize(_alert_nodes(drafts), "drafts")
     if history is not None:
         past = materialize(_alert_nodes(history), "history")
-        hits = match_rows(rows, past, rule, **blocks).select("id").distinct()
+        before = _conflict(similarity, cooldown_hours, earlier=False)
+        hits = match_rows(rows, past, before, **blocks).select("id").distinct()
         rows = materialize(rows.join(hits, "id", "left_anti"), "open")
     kept = first_independent(rows, rule, **blocks).withColumn("kept", F.lit(True))
     return drafts.join(kept.withColumnRenamed("id", "alert_id"), "alert_id", "left").withColumn(

@@ -34,9 +34,9 @@ def leader_cluster(
 ) -> DataFrame:
     """Members under the arrival-order rule: join the most similar earlier leader, else lead.
 
-    The cluster id is the id of its leader.
+    The cluster id is the id of its leader. Of repeated ids the first row counts.
     """
-    rows = materialize(vo.nodes(vo.drop_zero_vectors(vectors)), "nodes")
+    rows = materialize(vo.one_per_id(vo.nodes(vo.drop_zero_vectors(vectors))), "nodes")
     leaders = select_leaders(rows, threshold, strict, **blocks)
     joined = match_rows(rows, leaders, Rule(theta=threshold, strict=strict, earlier=True), **blocks)
     found = rows.select("id", "ts").join(joined.select("id", "match_id", "similarity"), "id", "left")
@@ -57,7 +57,7 @@ def refine_clusters(
     Most posts find a centroid within the threshold, where the search prunes;
     only the others are compared without a bound.
     """
-    rows = materialize(vo.nodes(vo.drop_zero_vectors(vectors)), "nodes")
+    rows = materialize(vo.one_per_id(vo.nodes(vo.drop_zero_vectors(vectors))), "nodes")
     times = members.select(F.col("post_id").alias("id"), "joined_at")
     for _ in range(rounds):
         means = vo.centroids(members, vectors)
@@ -123,7 +123,7 @@ def assign_incremental(
     A row joins the most similar of the stored centroids and the earlier new
     leaders of its batch; a row near neither starts a cluster under its own id.
     """
-    rows = materialize(vo.nodes(vo.drop_zero_vectors(batch)), "batch")
+    rows = materialize(vo.one_per_id(vo.nodes(vo.drop_zero_vectors(batch))), "batch")
     homes = materialize(vo._cluster_nodes(feature_centroids(features)), "centroids")
     stored = materialize(match_rows(rows, homes, Rule(theta=threshold, strict=strict)), "stored")
     fresh = materialize(rows.join(stored, "id", "left_anti"), "fresh")

@@ -111,7 +111,7 @@ def coherence_fast(features: DataFrame) -> DataFrame:
 
 
 def low_coherence(
-    base: DataFrame, min_coherence: float = K.MIN_COHERENCE, min_size: int = 5, limit: int | None = 3
+    base: DataFrame, min_coherence: float = K.MIN_COHERENCE, min_size: int = 5, limit: int | None = None
 ) -> DataFrame:
     """Active clusters larger than ``min_size`` whose coherence is too low, worst first."""
     found = (

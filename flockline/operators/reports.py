@@ -27,7 +27,7 @@ def cluster_report_base(clusters: DataFrame, members: DataFrame, vectors: DataFr
     return materialize(base, "report-base")
 
 
-def engine_stats(base: DataFrame, vectors: DataFrame, sample: int | None = 10) -> DataFrame:
+def engine_stats(base: DataFrame, vectors: DataFrame, sample: int | None = None) -> DataFrame:
     """One row of cluster counts, sizes, coherence and stored vectors."""
     active = F.col("status") == "active"
     size = F.when(active, F.col("size"))

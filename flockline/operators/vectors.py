@@ -34,6 +34,11 @@ def nodes(vectors: DataFrame, ts: Column | None = None) -> DataFrame:
     )
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """Kernel rows with repeated ids folded to their first appearance (ties to the smaller vector)."""
+    return rows.groupBy("id").agg(F.min(F.struct("ts", "vec")).alias("first")).select("id", "first.*")
+
+
 def cosine_pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Cosine of the two embeddings that share a key, e.g. a post and its cluster's centroid."""
     a = left.withColumn("__a", vx.normalize(vx.doubles(F.col("embedding")))).drop("embedding")

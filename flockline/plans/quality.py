@@ -80,8 +80,7 @@ ORACLES = {
     ),
     "low_coherence": s.query(
         s.REP,
-        f"SELECT cluster_id, size, {s.r6('coherence')} AS coherence FROM base WHERE status = 'active' AND size > 5 AND coherence < 0.6 "
-        "ORDER BY base.coherence, cluster_id LIMIT 3",
+        f"SELECT cluster_id, size, {s.r6('coherence')} AS coherence FROM base WHERE status = 'active' AND size > 5 AND coherence < 0.6",
     ),
     "quality_score": s.query(
         s.REP, f"SELECT cluster_id, {s.r6(QUALITY)} AS quality FROM base WHERE status = 'active'"

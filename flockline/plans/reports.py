@@ -169,7 +169,7 @@ _STATS = """stats AS MATERIALIZED (SELECT count(*) FILTER (status = 'active') AS
   count(*) AS total_clusters, count(*) FILTER (status = 'active' AND size > 50) AS large_clusters,
   coalesce(avg(size) FILTER (status = 'active'), 0.0) AS average_cluster_size, coalesce(max(size) FILTER (status = 'active'), 0) AS max_cluster_size,
   avg(size) AS average_size_all,
-  (SELECT coalesce(avg(coherence), 0.0) FROM (SELECT * FROM base ORDER BY created_at, cluster_id LIMIT 10) WHERE status = 'active') AS average_coherence,
+  (SELECT coalesce(avg(coherence), 0.0) FROM base WHERE status = 'active') AS average_coherence,
   (SELECT count(*) FROM vec) AS vectors_stored FROM base)"""
 _PROC = """proc AS MATERIALIZED (SELECT count(*) AS posts_processed, count(*) FILTER (outcome = 'new_cluster') AS clusters_created,
   count(*) FILTER (outcome = 'clustered') AS posts_clustered, count(*) AS posts_assigned, count(*) // 100 AS quality_checks,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockline.functions import constants as K
 from flockline.operators.alerts import alert_cooldown
+from flockline.session import exists
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
@@ -29,14 +29,13 @@ def snapshot_state(tables: dict[str, DataFrame], path: str, snapshot_ts: int) ->
     """Write every table whole under its own folder, partitioned by ``snapshot_ts``.
 
     A snapshot counts once its row in ``markers`` is written, which happens last.
+    Writing it again replaces its own partitions, so a retry changes nothing.
     """
+    at = f"snapshot_ts={snapshot_ts}"
     for name, table in tables.items():
-        table.withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint")).write.mode("append").partitionBy(
-            "snapshot_ts"
-        ).parquet(f"{path}/{name}")
+        table.write.mode("overwrite").parquet(f"{path}/{name}/{at}")
     spark = next(iter(tables.values())).sparkSession
-    marker = spark.range(1).select(F.lit(snapshot_ts).cast("bigint").alias("snapshot_ts"))
-    marker.write.mode("append").parquet(f"{path}/markers")
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/markers/{at}")
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> int | None:
@@ -58,11 +57,9 @@ def purge_expired_posts(posts: DataFrame, members: DataFrame, expired: DataFrame
 def append_alerts(alerts: DataFrame, path: str) -> None:
     """Append alerts that the table does not hold yet: writing a batch twice changes nothing."""
     spark = alerts.sparkSession
-    try:
+    if exists(spark, path):
         known = spark.read.parquet(path).select("alert_id")
         alerts = alerts.join(known, "alert_id", "left_anti")
-    except AnalysisException:
-        pass
     alerts.dropDuplicates(["alert_id"]).write.mode("append").parquet(path)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flockline.functions import constants as K
 from flockline.operators.text import meaningful_posts, prepare_posts
 from flockline.operators.windows import SLIDE_HOURS
-from flockline.session import scratch_path
+from flockline.session import exists, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -117,22 +117,27 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
 
 
 def stream_stats(stream: DataFrame, name: str = "stats") -> DataFrame:
-    """Processed and meaningful counts of each micro-batch, read from the query progress."""
+    """Processed and meaningful counts of each micro-batch.
+
+    Every batch writes its own partition, so no batch is forgotten however many
+    there are, and a batch that is run again replaces its counts.
+    """
     spark: SparkSession = stream.sparkSession
     path = scratch_path(spark, name)
-    watched = stream.observe(
-        "posts", F.count("*").alias("processed"), F.count_if("is_meaningful").alias("meaningful")
-    )
+    schema = "processed bigint, meaningful bigint, batch_id bigint"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.agg(F.count("*").alias("processed"), F.count_if("is_meaningful").alias("meaningful"))
+        counts.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+
     query = (
-        watched.writeStream.format("noop")
+        stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    rows = []
-    for p in query.recentProgress:
-        seen = p.observedMetrics.get("posts")
-        if seen is not None and p.numInputRows:
-            rows.append((p.batchId, seen["processed"], seen["meaningful"]))
-    return spark.createDataFrame(rows, "batch_id bigint, processed bigint, meaningful bigint")
+    if not exists(spark, f"{path}/counts"):
+        return spark.createDataFrame([], schema)
+    counts = spark.read.schema(schema).parquet(f"{path}/counts")
+    return counts.filter("processed > 0").select("batch_id", "processed", "meaningful")
