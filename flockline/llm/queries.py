@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockline.llm import hnsw, langid, lines, minhash, mixing, packing, reputation, suffixes, topk
+from flockline.llm import chat, hnsw, langid, lines, minhash, mixing, packing, reputation, suffixes, topk
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_suffix_dedup(spark: SparkSession, path: str) -> DataFrame:
     return suffixes.dedup_substrings(read(spark, path, "documents"))
 
 
+def op6_chat_rotation(spark: SparkSession, path: str) -> DataFrame:
+    return chat.rotate(read(spark, path, "conversations"))
+
+
 def op7_curve_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(read(spark, path, "documents"))
 
@@ -56,12 +60,14 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_chat_rotation": op6_chat_rotation,
     "op7_curve_packing": op7_curve_packing,
     "op8_url_reputation": op8_url_reputation,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_topk": op10_exact_topk,
 }
 ORACLES: dict[str, str] = {
+    "op6_chat_rotation": chat.rotate_sql(),
     "op2_source_mixing": f"WITH {mixing.mix_sql('documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
     "op8_url_reputation": reputation.judge_sql(),
     "op9_line_dedup": f"WITH {lines.lines_sql('documents')} SELECT doc_id, n_lines, n_removed, text FROM cleaned",
