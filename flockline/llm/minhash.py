@@ -9,8 +9,9 @@ four minima that agree by chance, and clearly different ones go. What is left is
 confirmed on the full shingle sets, one home set at a time.
 
 Within a band only stars are compared: first around the smallest id, then around
-the best-linked one, and at last, in blocks, members of what is still apart. Each
-link between different components is looked for, no group is listed in pairs.
+the best-linked one, and at last members of what is still apart: pairs of small
+buckets, and blocks of large ones, whose tasks confirm links on full sets themselves
+and pass on no more than join components. No large group is listed in pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from flockline.session import discard, materialize
 
 HASHES, ROWS, BITS = 128, 4, 2
 SLOT = 256  # members compared with one copy of a home set
-BLOCK = 512  # members of a bucket in one block of the last round
+SMALL = 32  # members of a bucket whose pairs are listed in the last round
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000  # members and shingles of a larger bucket in one block
+_EACH = (1 << 64) // 3  # 0101...: one bit for each field of two
 
 
 @dataclass(frozen=True)
@@ -111,11 +114,10 @@ def _lists(rows: np.ndarray, used: np.ndarray) -> pa.Array:
 
 def matches(a: Column, b: Column) -> Column:
     """How many of the packed minima agree."""
-    each = (1 << 64) // 3  # 0101...: one bit for each field of two
     total = F.lit(HASHES)
     for k in range(HASHES * BITS // 64):
         x = a[k].bitwiseXOR(b[k])
-        odd = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(each))
+        odd = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_EACH))
         total = total - F.bit_count(odd)
     return total
 
@@ -165,34 +167,110 @@ def confirm(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     )
 
 
-def _cross_pairs(members: DataFrame, near: Near) -> DataFrame:
-    """Pairs of one bucket, of different components, whose packed bits allow a link; compared in blocks.
+def _bucket_pairs(members: DataFrame, near: Near) -> DataFrame:
+    """Pairs of one small bucket, of different components, whose packed bits allow a link."""
+    side = lambda name: members.select("key", F.struct("doc", "component", "sig").alias(name))
+    x, y = F.col("x"), F.col("y")
+    alike = (x["component"] != y["component"]) & (matches(x["sig"], y["sig"]) >= near.least_match)
+    found = side("x").join(side("y"), "key").filter((x["doc"] < y["doc"]) & alike)
+    return found.select(x["doc"].alias("a"), y["doc"].alias("b")).distinct()
+
+
+class _Home:
+    """One block of a bucket in a task: packed bits, shingles with their owners, and components joined so far."""
+
+    def __init__(self, near: Near) -> None:
+        self.near, self.rows, self.sets = near, [], []
+        self.up: dict[int, int] = {}
+
+    def add(self, doc: int, component: int, sig: np.ndarray, found: np.ndarray) -> None:
+        self.rows.append((doc, component, sig))
+        self.sets.append(found)
+
+    def close(self) -> None:
+        doc, component, sig = zip(*self.rows)
+        self.doc, self.at, self.sig = np.array(doc, "int64"), np.array(component, "int64"), np.stack(sig)
+        self.size = np.array([len(x) for x in self.sets], "int64")
+        flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(doc)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.known, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+
+    def _root(self, component: int) -> int:
+        while component in self.up:
+            component = self.up[component]
+        return component
+
+    def _shared(self, found: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections with every set of the block."""
+        if not len(self.known):
+            return np.zeros(len(self.doc), "int64")
+        spot = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        spot = spot[self.known[spot] == found]
+        n = self.first[spot + 1] - self.first[spot]
+        at = np.repeat(self.first[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.doc))
+
+    def links(self, doc: int, component: int, sig: np.ndarray, found: np.ndarray) -> list[int]:
+        """Members of the block that are linked with a document, one of each component not yet joined with it."""
+        root = self._root(component)
+        x = self.sig ^ sig
+        differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_EACH)).sum(axis=1, dtype="int64")
+        rough = (self.at != root) & (HASHES - differ >= self.near.least_match)
+        if not rough.any():
+            return []
+        both = self._shared(found)
+        out = []
+        for k in np.flatnonzero(rough & (both > 0) & (100 * both >= self.near.percent * (self.size + len(found) - both))):
+            other = int(self.at[k])
+            if other != root:
+                out.append(int(self.doc[k]))
+                self.up[other] = root
+                self.at[self.at == other] = root
+        return out
+
 
-    ``members (key, doc, component, sig)``. A bucket of n members is cut into
-    chunks of about 512, and every two chunks meet in one cell of the join.
+def _block_links(members: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """Links ``(a, b)`` that join different components of large buckets, confirmed on full shingle sets.
+
+    ``members (key, doc, component, sig, n_shingles)``. A bucket is cut into blocks of about
+    512 members and two million shingles, and every two blocks meet in one task, which holds one
+    and lets the other stream past. It passes on at most one link for each component
+    that it joins, however many pairs there are.
     """
-    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    weight = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    chunks = members.groupBy("key").agg(weight.alias("chunks"))
     cut = members.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("doc"), "chunks"))
+    cut = cut.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    payload = ["doc", "component", "sig", "text"]
     zero = F.lit(0).cast("long")
-    left = cut.select(
-        "key",
-        F.col("chunk").alias("i"),
-        F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"),
-        F.struct("doc", "component", "sig").alias("x"),
-    )
-    right = cut.select(
-        "key",
-        F.explode(F.sequence(zero, "chunk")).alias("i"),
-        F.col("chunk").alias("j"),
-        F.struct("doc", "component", "sig").alias("y"),
-    )
-    x, y = F.col("x"), F.col("y")
-    once = (F.col("l.i") < F.col("l.j")) | (x["doc"] < y["doc"])
-    alike = (x["component"] != y["component"]) & (matches(x["sig"], y["sig"]) >= near.least_match)
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "i", "j")]
-    found = left.alias("l").join(right.alias("r"), [*same, once & alike])
-    a, b = x["doc"], y["doc"]
-    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    here = F.col("chunk")
+    homes = cut.select("key", here.alias("i"), F.explode(F.sequence(here, F.col("chunks") - 1)).alias("j"), F.lit(0).alias("kind"), *payload)
+    probes = cut.select("key", F.explode(F.sequence(zero, here)).alias("i"), here.alias("j"), F.lit(1).alias("kind"), *payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, home, closed = None, _Home(near), False
+        for batch in batches:
+            key, i, j, kind, doc, component = (batch.column(k).to_pylist() for k in range(6))
+            sig = batch.column(6).flatten().to_numpy().view("uint64").reshape(batch.num_rows, -1)
+            a, b = [], []
+            for row, found in shingle_sets(batch.column(7), near.width):
+                if place != (key[row], i[row], j[row]):
+                    place, home, closed = (key[row], i[row], j[row]), _Home(near), False
+                if kind[row] == 0:
+                    home.add(doc[row], component[row], sig[row], found)
+                elif home.rows:
+                    if not closed:
+                        home.close()
+                        closed = True
+                    linked = home.links(doc[row], component[row], sig[row], found)
+                    a += linked
+                    b += [doc[row]] * len(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    cells = homes.union(probes).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "kind")
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -211,7 +289,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     key = ["set_a", "set_b", "n_shingles"]
     sets = some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     sets = materialize(sets, "sets")
-    bits = sets.select(F.col("rep").alias("doc"), "sig")
+    bits = sets.select(F.col("rep").alias("doc"), "sig", "n_shingles")
 
     banded = sets.select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last"))
@@ -255,11 +333,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
             discard(left)
             left = apart()
         if not left.isEmpty():
-            seen = tried.union(fresh)
-            pairs = _cross_pairs(left.join(bits, "doc"), near).join(seen, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            label = extended(label, materialize(confirm(pairs, texts, near), "links"))
-            discard(pairs)
+            whole_bits = left.join(bits, "doc")
+            large = left.groupBy("key").count().filter(F.col("count") > SMALL).select("key")
+            blocks = materialize(_block_links(whole_bits.join(large, "key", "left_semi"), texts, near), "links")
+            pairs = _bucket_pairs(whole_bits.join(large, "key", "left_anti"), near)
+            pairs = materialize(pairs.join(tried.union(fresh), ["a", "b"], "left_anti"), "pairs")
+            label = extended(label, materialize(confirm(pairs, texts, near).union(blocks), "links"))
+            discard(pairs, blocks)
         discard(fresh, more)
     discard(left, tried, links, texts, members)
 

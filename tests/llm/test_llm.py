@@ -78,14 +78,37 @@ def test_minhash(docs, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
-def test_minhash_blocks_find_links_off_the_stars(spark):
+@pytest.mark.parametrize("small", [32, 1])
+def test_minhash_finds_links_off_the_stars(spark, monkeypatch, small):
     """A path of texts: neighbours are linked, the others only through them."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
     base = [f"t{k}" for k in range(400)]
     texts = [" ".join(base[8 * k : 8 * k + 80]) for k in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {0}
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_minhash_of_a_shared_passage(spark, monkeypatch, small):
+    """Many texts share a passage and are about as similar as the bound, on both of its sides."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    passage = prose(40, 90, 5000).split()
+    texts = [" ".join(passage + prose(100 + k, 10 + 3 * (k % 8), 5000).split()) for k in range(60)]
+    texts += [t + " end" for t in texts[::9]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
+            if 100 * len(s & t) >= 75 * len(s | t):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert len(set(group)) > 5
+    assert [r.component_id for r in minhash.near_duplicates(df).orderBy("doc_id").collect()] == group
+
+
 def test_estimate_is_unbiased(spark):
     r = np.random.default_rng(0)
     words = [f"q{k}" for k in r.integers(0, 10**6, 900)]
