@@ -14,6 +14,7 @@ from flockline.operators.windows import hours_between
 from flockline.session import materialize
 
 _HOUR = 3_600_000_000
+INLINE_RULES = 1000  # rules that are compared inside the row; more are joined
 
 
 def alert_candidates(
@@ -34,12 +35,16 @@ def alert_candidates(
 def rule_matches(clusters: DataFrame, rules: DataFrame) -> DataFrame:
     """Active clusters and the enabled rules they satisfy (a join on two thresholds).
 
-    Rules are configuration and enter the plan as one literal array, so the
-    non-equal join is an in-row filter.
+    A short list of rules enters the plan as one literal array, so the non-equal
+    join is an in-row filter. A longer one is joined.
     """
-    table = rules.filter("enabled").limit(1001).collect()
-    if len(table) > 1000:
-        raise ValueError("more than 1000 enabled rules")
+    enabled = rules.filter("enabled")
+    table = enabled.limit(INLINE_RULES + 1).collect()
+    if len(table) > INLINE_RULES:
+        met = (F.col("size") >= F.col("min_cluster_size")) & (F.col("topic_similarity") >= F.col("topic_similarity_threshold"))
+        active = clusters.filter("status = 'active'").select("cluster_id", "size", "topic_similarity")
+        wanted = enabled.select(F.col("name").alias("rule"), "min_cluster_size", "topic_similarity_threshold")
+        return active.join(wanted, met).select("cluster_id", "rule")
     if not table:
         return clusters.limit(0).select("cluster_id", F.lit("").alias("rule"))
     entries = F.array(

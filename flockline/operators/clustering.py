@@ -17,6 +17,8 @@ from flockline.operators.leaders import first_independent
 from flockline.operators.windows import running_count
 from flockline.session import materialize
 
+BUCKET_ROWS = 8192  # rows that one task folds into local summaries
+
 
 def select_leaders(nodes: DataFrame, threshold: float, strict: bool = False, **blocks) -> DataFrame:
     """Leader rows (id, ts, vec). Copies of a vector are folded first: they never change leaders."""
@@ -91,9 +93,12 @@ def cluster_features(members: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def merge_features(left: DataFrame, right: DataFrame) -> DataFrame:
     """Features of the union of two disjoint member sets."""
-    both = left.unionByName(right)
+    return _summed(left.unionByName(right))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
     return (
-        both.groupBy("cluster_id")
+        parts.groupBy("cluster_id")
         .agg(
             F.sum("n").alias("n"),
             Summarizer.sum(array_to_vector(F.col("linear_sum"))).alias("__sum"),
@@ -171,23 +176,42 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> DataFrame:
     """Summaries (cluster_id, n, linear_sum, square_sum, radius), every radius <= ``radius``.
 
-    Each task folds its own rows into local summaries; the summaries are then
-    grouped around leaders whose spread still fits the bound. The mean has the
-    least spread, so a group's true radius stays within it.
+    Buckets of about ``BUCKET_ROWS`` rows, by a hash of the id, are folded into local
+    summaries, so neither the partition count nor a task's share changes the result; the
+    summaries are then grouped around leaders whose spread still fits the bound. The
+    mean has the least spread, so a group's true radius stays within it.
     """
     rows = vectors.select(
         F.unix_micros("created_at").alias("ts"), "id", vx.doubles(F.col("embedding")).alias("vec")
     )
-    placed = rows.repartition(F.xxhash64("id")).sortWithinPartitions("ts", "id")
+    buckets = max(1, -(-vectors.count() // BUCKET_ROWS))
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    placed = bucketed.repartition("bucket").sortWithinPartitions("bucket", "ts", "id")
     limit = radius * radius
 
     def fold(batches):
         ids, ts = [], []
         n, sq = np.zeros(0), np.zeros(0)
         sums = np.zeros((0, 0))
-        used = 0
+        used, now = 0, None
+
+        def local():
+            return pd.DataFrame(
+                {
+                    "id": ids,
+                    "ts": ts,
+                    "n": n[:used].astype("int64"),
+                    "linear_sum": list(sums[:used].copy()),
+                    "square_sum": sq[:used].copy(),
+                }
+            )
+
         for pdf in batches:
-            for when, pid, vec in zip(pdf["ts"], pdf["id"], pdf["vec"]):
+            for bucket, when, pid, vec in zip(pdf["bucket"], pdf["ts"], pdf["id"], pdf["vec"]):
+                if bucket != now:
+                    if used:
+                        yield local()
+                    now, used, ids, ts = bucket, 0, [], []
                 v = np.asarray(vec, dtype=float)
                 s = float(v @ v)
                 if used:
@@ -207,15 +231,7 @@ def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> Da
                 sums[used], n[used], sq[used] = v, 1, s
                 used += 1
         if used:
-            yield pd.DataFrame(
-                {
-                    "id": ids,
-                    "ts": ts,
-                    "n": n[:used].astype("int64"),
-                    "linear_sum": list(sums[:used]),
-                    "square_sum": sq[:used],
-                }
-            )
+            yield local()
 
     kind = vectors.schema["id"].dataType.simpleString()
     local = materialize(
@@ -241,7 +257,7 @@ def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> Da
     )
     owner = F.when(F.col("leads"), F.col("id")).otherwise(F.col("match_id")).cast("string")
     parts = owned.select(owner.alias("cluster_id"), "n", "linear_sum", "square_sum")
-    merged = merge_features(parts, parts.limit(0))
+    merged = _summed(parts)
     radii = feature_centroids(merged).select("cluster_id", "radius")
     return merged.join(radii, "cluster_id")
 

@@ -1,5 +1,8 @@
 """Nothing is lost, doubled or size-dependent: repeated ids, retries, history ties, many micro-batches."""
 
+from datetime import datetime, timedelta
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +67,38 @@ def test_discard_removes_the_table(spark):
     import os
 
     assert not os.path.exists(folder)
+
+
+def test_micro_clusters_do_not_follow_the_partition_count(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BUCKET_ROWS", 16)
+    r = np.random.default_rng(3)
+    at = datetime(2024, 1, 1)
+    rows = [(f"p{k}", at + timedelta(seconds=k), (np.eye(4)[k % 4] + 0.05 * r.standard_normal(4)).tolist()) for k in range(80)]
+    table = spark.createDataFrame(rows, "id string, created_at timestamp, embedding array<double>")
+
+    def found():
+        return sorted((x.cluster_id, x.n) for x in clustering.micro_clusters(table, 0.4).collect())
+
+    first = found()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert found() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sum(n for _, n in first) == 80 and len(first) < 40
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    clusters = spark.createDataFrame(
+        [("a", 5, 0.9, "active"), ("b", 50, 0.2, "active"), ("c", 50, 0.9, "expired")],
+        "cluster_id string, size long, topic_similarity double, status string",
+    )
+    rules = spark.createDataFrame(
+        [("small", 3, 0.5, True), ("large", 20, 0.1, True), ("off", 1, 0.0, False)],
+        "name string, min_cluster_size long, topic_similarity_threshold double, enabled boolean",
+    )
+    want = {("a", "small"), ("b", "large")}
+    assert {tuple(r) for r in alerts.rule_matches(clusters, rules).collect()} == want
+    monkeypatch.setattr(alerts, "INLINE_RULES", 1)
+    assert {tuple(r) for r in alerts.rule_matches(clusters, rules).collect()} == want
