@@ -273,6 +273,18 @@ def _block_links(members: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
+def _buckets(banded: DataFrame) -> DataFrame:
+    """Buckets ``(key, pivot)`` of several documents, one of those that hold the same documents.
+
+    Alike documents share many bands, and each such bucket would bring the same pairs. Equal
+    buckets agree in size, both ends and 96 bits of sums over their members.
+    """
+    member = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc"), 32)
+    same = {"last": F.max("doc"), "n": F.count("*"), "x": F.bit_xor(F.xxhash64("doc")), "y": F.sum(member)}
+    found = banded.groupBy("key").agg(F.min("doc").alias("pivot"), *(v.alias(k) for k, v in same.items()))
+    return found.filter("pivot < last").groupBy("pivot", *same).agg(F.min("key").alias("key")).select("key", "pivot")
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """Classes of near-duplicate documents: ``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
@@ -292,9 +304,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     bits = sets.select(F.col("rep").alias("doc"), "sig", "n_shingles")
 
     banded = sets.select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last"))
-    shared = shared.filter("pivot < last").select("key", "pivot")
-    members = materialize(banded.join(shared, "key"), "members")
+    members = materialize(banded.join(_buckets(banded), "key"), "members")
     needed = members.select(F.col("doc").alias("doc_id")).distinct()
     whole = docs.select(F.col("doc_id").cast("long"), "text")
     texts = materialize(whole.join(needed, "doc_id", "left_semi"), "texts", "zstd")
@@ -308,17 +318,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     links = materialize(confirm(tried, texts, near), "links")
     label = materialize(components(links), "label")
 
-    def apart() -> DataFrame:
-        """Members of buckets that still hold several components."""
+    def apart(among: DataFrame) -> DataFrame:
+        """Members of buckets that still hold several components, with the size of their bucket."""
         own = label.withColumnRenamed("id", "doc")
-        labelled = members.join(own, "doc", "left").select("key", "doc", F.coalesce("component_id", "doc").alias("component"))
-        labelled = materialize(labelled, "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        out = materialize(labelled.join(mixed.filter("lo < hi").select("key"), "key", "left_semi"), "apart")
+        labelled = among.select("key", "doc").join(own, "doc", "left")
+        labelled = materialize(labelled.select("key", "doc", F.coalesce("component_id", "doc").alias("component")), "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+        out = materialize(labelled.join(mixed.filter("lo < hi").select("key", "n"), "key"), "apart")
         discard(labelled)
         return out
 
-    left = apart()
+    left = apart(members)
     if not left.isEmpty():
         degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").count()
         ranked = left.join(degree, "doc", "left").withColumn("count", F.coalesce("count", F.lit(0)))
@@ -330,13 +340,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         more = materialize(confirm(fresh, texts, near), "links")
         if not more.isEmpty():
             label = extended(label, more)
-            discard(left)
-            left = apart()
+            before, left = left, apart(left)
+            discard(before)
         if not left.isEmpty():
             whole_bits = left.join(bits, "doc")
-            large = left.groupBy("key").count().filter(F.col("count") > SMALL).select("key")
-            blocks = materialize(_block_links(whole_bits.join(large, "key", "left_semi"), texts, near), "links")
-            pairs = _bucket_pairs(whole_bits.join(large, "key", "left_anti"), near)
+            large = F.col("n") > SMALL
+            blocks = materialize(_block_links(whole_bits.filter(large).drop("n"), texts, near), "links")
+            pairs = _bucket_pairs(whole_bits.filter(~large), near)
             pairs = materialize(pairs.join(tried.union(fresh), ["a", "b"], "left_anti"), "pairs")
             label = extended(label, materialize(confirm(pairs, texts, near).union(blocks), "links"))
             discard(pairs, blocks)
