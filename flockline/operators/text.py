@@ -68,29 +68,37 @@ def entity_counts(posts: DataFrame) -> DataFrame:
     )
 
 
+LEXICON_WORDS = 100_000  # words of a lexicon that is broadcast
+
+
 def sentiment(posts: DataFrame, lexicon: DataFrame, margin: float = 0.1) -> DataFrame:
     """Mean polarity and subjectivity of the lexicon words of a post, with a label.
 
-    ``lexicon`` is (word, polarity, subjectivity). Words are counted per post
-    before the join, so a frequent word is one row per post, and the lexicon is
-    left to the optimizer: it is broadcast only when its statistics allow it.
+    ``lexicon`` is (word, polarity, subjectivity). One of at most ``LEXICON_WORDS`` words
+    is broadcast, so that only sums per post are shuffled; beyond that, words are
+    counted per post before the join, and a frequent word is one row per post.
     """
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     tokens = F.regexp_extract_all(low, F.lit(r"([a-z]+)"), F.lit(1))
-    counts = (
-        posts.select("id", F.explode(tokens).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    words = posts.select("id", F.posexplode_outer(tokens).alias("at", "word"))
+    first = (F.coalesce("at", F.lit(0)) == 0).cast("long")  # once for every post, also for one without words
+    entries = lexicon.groupBy("word").agg(
+        F.sum("polarity").alias("p"), F.sum("subjectivity").alias("s"), F.count("*").alias("m")
     )
-    scored = (
-        counts.join(lexicon, "word")
-        .groupBy("id")
-        .agg(
-            (F.sum(F.col("polarity") * F.col("n")) / F.sum("n")).alias("polarity"),
-            (F.sum(F.col("subjectivity") * F.col("n")) / F.sum("n")).alias("subjectivity"),
-        )
+    if lexicon.limit(LEXICON_WORDS + 1).count() <= LEXICON_WORDS:
+        entries = F.broadcast(entries)
+        counts = words.select("id", "word", F.lit(1).alias("n"), first.alias("posts"))
+    else:
+        counts = words.groupBy("id", "word").agg(F.count("*").alias("n"), F.sum(first).alias("posts"))
+    met = F.sum(F.col("m") * F.col("n"))
+    scored = counts.join(entries, "word", "left").groupBy("id").agg(
+        (F.sum(F.col("p") * F.col("n")) / met).alias("polarity"),
+        (F.sum(F.col("s") * F.col("n")) / met).alias("subjectivity"),
+        F.sum("posts").alias("posts"),
     )
     return (
-        posts.select("id")
-        .join(scored, "id", "left")
+        scored.withColumn("posts", F.explode(F.sequence(F.lit(1).cast("long"), "posts")))
+        .drop("posts")
         .na.fill(0.0, ["polarity", "subjectivity"])
         .withColumn(
             "label",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flockline.functions import constants as K
 from flockline.session import materialize
 
+GRID_ROWS = 100_000  # rows of five numbers in a grid that is broadcast
 SLIDE_HOURS = K.WINDOW_SIZE_HOURS - K.WINDOW_OVERLAP_HOURS
 _HOUR = 3_600_000_000
 
@@ -101,6 +102,8 @@ def window_assign_anchored(
     grid = posts.sparkSession.createDataFrame(
         rows, "cell bigint, this_id bigint, this_start bigint, last_id bigint, last_start bigint"
     )
+    if len(rows) <= GRID_ROWS:
+        grid = F.broadcast(grid)
     micros = F.unix_micros(col)
     in_this = micros >= F.col("this_start")
     return (

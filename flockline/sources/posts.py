@@ -9,11 +9,21 @@ from pyspark.sql import types as T
 from flockline import schemas
 
 
+MALFORMED = "_corrupt_record"
+
+
 def read_posts(
-    spark: SparkSession, path: str, schema: T.StructType = schemas.POSTS, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType = schemas.POSTS, multiline: bool = False, malformed: bool = False
 ) -> DataFrame:
-    """Posts from JSON with a fixed schema; ``multiline`` reads files that hold one JSON array."""
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    """Posts from JSON with a fixed schema; ``multiline`` reads files that hold one JSON array.
+
+    With ``malformed``, text that is no JSON of this schema is kept in a column of its own,
+    by which :func:`ingest_posts` rejects the row; otherwise such rows have null fields.
+    """
+    if malformed:
+        schema = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+    return reader.option("multiLine", multiline).json(path)
 
 
 def write_posts(posts: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -34,9 +44,9 @@ def _with_columns(raw: DataFrame) -> DataFrame:
 
 
 def check_posts(raw: DataFrame, now: Column) -> DataFrame:
-    """Fill defaults (time, counts, lists) and add ``is_valid``: all required fields are there."""
+    """Fill defaults (time, counts, lists) and add ``is_valid``: all required fields are there and the row could be read."""
     posts = _with_columns(raw)
-    valid = F.lit(True)
+    valid = F.col(MALFORMED).isNull() if MALFORMED in raw.columns else F.lit(True)
     for name in schemas.REQUIRED_POST_FIELDS:
         valid = valid & F.col(name).isNotNull()
     posts = posts.withColumn("is_valid", valid)

@@ -98,6 +98,21 @@ def test_ingest_defaults_and_rejects(spark):
     assert [r["post_id"] for r in bad.collect()] == ["2"]
 
 
+def test_malformed_rows_are_rejected_with_their_text(spark, tmp_path):
+    good = '{"post_id": "1", "text": "hi", "author_id": "u", "author_username": "n"}'
+    (tmp_path / "posts.json").write_text(good + "\n{broken\n")
+    raw = ps.read_posts(spark, str(tmp_path / "posts.json"), malformed=True)
+    accepted, rejected = ps.ingest_posts(raw, F.lit(at(5)))
+    assert [r["id"] for r in accepted.collect()] == ["1"]
+    assert [r["_corrupt_record"] for r in rejected.collect()] == ["{broken"]
+
+
+def test_anchored_grid_is_broadcast(spark):
+    rows = spark.range(3).select("id", F.timestamp_seconds(F.col("id") * 60).alias("created_at"))
+    plan = wi.window_assign_anchored(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_multiline_array_is_read(spark, tmp_path):
     (tmp_path / "posts.json").write_text('[{"post_id": "1", "text": "é"},\n {"post_id": "2", "text": "b"}]')
     got = ps.read_posts(spark, str(tmp_path / "posts.json"), multiline=True)

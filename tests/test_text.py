@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,10 +84,20 @@ def test_embed_with_model(spark):
     assert abs(one[0] / one[1] - 2) < 1e-12 and two == [0.0, 0.0]
 
 
-def test_sentiment_labels(spark):
+@pytest.mark.parametrize("words", [0, 100])
+def test_sentiment_labels(spark, monkeypatch, words):
+    monkeypatch.setattr(to, "LEXICON_WORDS", words)
     lexicon = spark.createDataFrame(
         [("good", 0.8, 0.6), ("bad", -0.6, 0.4)], "word string, polarity double, subjectivity double"
     )
-    rows = spark.createDataFrame([(1, "Good, good bad"), (2, "bad!"), (3, None)], "id int, text string")
+    rows = spark.createDataFrame([(1, "Good, good bad"), (2, "bad!"), (3, None), (4, ""), (4, "")], "id int, text string")
+    assert to.sentiment(rows, lexicon).count() == 5
     got = {r["id"]: (round(r["polarity"], 6), r["label"]) for r in to.sentiment(rows, lexicon).collect()}
-    assert got == {1: (0.333333, "positive"), 2: (-0.6, "negative"), 3: (0.0, "neutral")}
+    assert got == {1: (0.333333, "positive"), 2: (-0.6, "negative"), 3: (0.0, "neutral"), 4: (0.0, "neutral")}
+
+
+def test_a_small_lexicon_is_broadcast(spark):
+    lexicon = spark.createDataFrame([("good", 0.8, 0.6)], "word string, polarity double, subjectivity double")
+    rows = spark.createDataFrame([(1, "good")], "id int, text string")
+    plan = to.sentiment(rows, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
