@@ -246,11 +246,15 @@ def vector_pca(vectors: DataFrame, members: DataFrame, dims: int = 2, sample: in
     """Principal components of the vectors with the cluster label of each post.
 
     The components are fitted on all rows; ``sample`` limits only the rows
-    returned (the published scatter plot shows at most 500).
+    returned (the published scatter plot shows at most 500). The largest loading of
+    a component is positive, so that its direction is always the same.
     """
     rows = vectors.select("id", array_to_vector(vx.doubles(F.col("embedding"))).alias("__v"))
     model = PCA(k=dims, inputCol="__v", outputCol="__p").fit(rows)
-    projected = model.transform(rows).select("id", vector_to_array("__p").alias("point"))
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(dims)]).tolist()
+    raw = model.transform(rows).select("id", vector_to_array("__p").alias("raw"))
+    projected = raw.select("id", F.array(*[F.col("raw")[i] * sign for i, sign in enumerate(signs)]).alias("point"))
     if sample is not None:
         projected = projected.orderBy("id").limit(sample)
     labels = members.select(F.col("post_id").alias("id"), "cluster_id")

@@ -90,7 +90,7 @@ def centroid_preview(spark, path):
 
 
 def vector_pca(spark, path):
-    """Spread along the first two components; their sign is arbitrary, their variance is not."""
+    """Posts along the first two components, the largest loading of each positive."""
     t = Tables(spark, path)
     found = vo.vector_pca(t.vectors, t.members)
     return found.select("id", "cluster_id", *[F.round(F.col("point")[i], 4).alias(f"pc{i + 1}") for i in range(2)])

@@ -196,3 +196,14 @@ def test_member_pages(spark):
     pages = cl.cluster_posts(members_of(table, 1), posts, page_size=10).orderBy("page").collect()
     assert [r["size"] for r in pages] == [10, 10, 5]
     assert [p["id"] for r in pages for p in r["posts"]] == list(range(25))
+
+
+def test_principal_components_have_a_fixed_direction(spark):
+    points = np.random.default_rng(5).normal(size=(60, 4)) * [1.0, 9.0, 0.3, 4.0]
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
+    members = spark.createDataFrame([(0, "c")], "post_id long, cluster_id string")
+    got = {r["id"]: (r["point"], r["cluster_id"]) for r in vo.vector_pca(rows, members).collect()}
+    axes = np.linalg.eigh(np.cov(points.T))[1][:, [3, 2]]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(2)])
+    assert np.allclose([got[i][0] for i in range(60)], points @ axes)
+    assert got[0][1] == "c" and got[1][1] == "Unknown"
