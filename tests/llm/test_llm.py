@@ -350,3 +350,10 @@ def test_pipeline(spark):
         assert name in ("line_dedup", "source_mixture") or out.join(docs, "doc_id", "left_anti").count() == 0
         docs = cp.materialize(out, "test")
     assert 0 < docs.count() <= 2 * n and cp.run(spark, path).count() > 0
+
+
+def test_equal_buckets_fold(spark):
+    held = {10: [1, 2, 3], 11: [1, 2, 3], 12: [1, 3], 13: [1, 2, 4, 3], 14: [5], 15: [2, 3], 9: [2, 3]}
+    rows = [(key, doc) for key, docs in held.items() for doc in docs]
+    got = minhash._buckets(spark.createDataFrame(rows, "key long, doc long")).collect()
+    assert sorted(map(tuple, got)) == [(9, 2), (10, 1), (12, 1), (13, 1)]
