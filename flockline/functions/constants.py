@@ -85,3 +85,9 @@ MIN_COHERENCE = 0.6
 LARGE_CLUSTER_SIZE = 50
 BATCH_SIZE = 100
 PROCESSING_INTERVAL_SECONDS = 30
+
+# Texts in results that must stay as they are.
+NO_TOPIC = "No Topic"
+GENERAL_TOPIC = "General Discussion"
+ABOUT = "Cluster about: "
+NEW_ALERT = "New alert"

@@ -257,7 +257,7 @@ def alert_payload(
         .join(previews, "cluster_id", "left")
         .select(
             "cluster_id",
-            F.coalesce("topic", F.lit("General Discussion")).alias("topic"),
+            F.coalesce("topic", F.lit(K.GENERAL_TOPIC)).alias("topic"),
             F.concat(F.col("size").cast("string"), F.lit(" posts")).alias("size_text"),
             F.format_string("%.2f%%", F.col("topic_similarity") * 100).alias("similarity_text"),
             F.concat(F.format_number(F.coalesce("engagement", F.lit(0)), 0), F.lit(" interactions")).alias("engagement_text"),
@@ -271,7 +271,7 @@ def alert_payload(
 
 def pending_alerts(deduped: DataFrame) -> DataFrame:
     return deduped.filter("kept").select(
-        "alert_id", "cluster_id", "topic", "keywords", "post_count", "alerted_at", F.lit("New alert").alias("reason")
+        "alert_id", "cluster_id", "topic", "keywords", "post_count", "alerted_at", F.lit(K.NEW_ALERT).alias("reason")
     )
 
 

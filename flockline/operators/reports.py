@@ -15,7 +15,7 @@ from flockline.operators.alerts import ranked_words
 from flockline.operators.windows import hours_between, running_count
 from flockline.session import materialize
 
-NO_TOPIC = "No Topic"
+NO_TOPIC = K.NO_TOPIC
 
 
 def cluster_report_base(clusters: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def cluster_summary(base: DataFrame, members: DataFrame, prepared: DataFrame, to
     return base.join(words, "cluster_id").select(
         "cluster_id",
         F.concat(
-            F.lit("Cluster about: "),
+            F.lit(K.ABOUT),
             "words",
             F.when(F.col("topic").isNotNull(), F.concat(F.lit(" (Topic: "), "topic", F.lit(")"))).otherwise(""),
             F.format_string(" [Coherence: %.2f]", "coherence"),
