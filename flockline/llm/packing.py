@@ -5,11 +5,14 @@ four dimensions; its place on a Hilbert curve through them is its sort key. Ligh
 (key, length) are range-sorted, running token counts turn the order into one gapless
 stream, and each document's ids are cut where a sequence of 1024 is full, so only the
 last sequence of a whole table is short. Token ids move once, evenly, by row id.
+Ids are those of the tokenizer's JSON form, its added tokens included.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from flockline.llm.hashing import mix, numbers
 from flockline.session import discard, materialize
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the ranks of byte_bpe_50k.json
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the ranks of byte_bpe_50k.json, which lists the added tokens
 LENGTH, END = 1024, 0
 HASHED, DIMS, BITS = 1024, 4, 10
 _CACHE = 400_000  # pieces of text whose ids a worker remembers
@@ -33,15 +36,33 @@ _PLAIN = re.compile(r"^\s|\s\s|\s$")
 _encoders: dict[str, "Encoder"] = {}
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Ids of the tokens that the JSON form beside a rank file adds to it; none without such a file."""
+    form = os.path.splitext(vocabulary)[0] + ".json"
+    if not os.path.exists(form):
+        return {}
+    with open(form, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in listed if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that depend on their surroundings: {odd}")
+    return {t["content"]: t["id"] for t in listed}
+
+
 class Encoder:
-    """Byte-level BPE with a memory of pieces between single blanks, which tokenise independently."""
+    """Byte-level BPE with a memory of pieces between single blanks, which tokenise independently.
+
+    Texts are cut at added tokens first, of overlapping ones at the leftmost and longest.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.size = max(ranks.values()) + 1
+        added = added_tokens(vocabulary)
+        self.added = {token: np.array([k], "<u4").tobytes() for token, k in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+        self.size = max([*ranks.values(), *added.values()]) + 1
         self.bpe = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
@@ -50,6 +71,12 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
+        if any(token in text for token in self.added):
+            parts = self.cut.split(text)  # every second one is an added token
+            return b"".join([self.added[x] if k % 2 else self._between(x) for k, x in enumerate(parts)])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         if _PLAIN.search(text):  # two adjacent white spaces may belong to one token
             return self._ids(text)
         first, *rest = text.split(" ")
@@ -178,8 +205,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) ->
 
     Every row of ``docs`` is a document of its own, repeated ids included: its ids and one
     end id. A null or empty text is the end id alone. Sequences are gapless and, but for
-    the last, full; a piece never crosses a sequence. Text that spells a special token is
-    ordinary text. Columns other than doc_id and text are ignored.
+    the last, full; a piece never crosses a sequence. Text that spells an added token of
+    the vocabulary is that token. Columns other than doc_id and text are ignored.
     """
     rows = materialize(tokenised(docs, vocabulary), "tokens", "zstd")
     places = materialize(along_curve(rows), "places")

@@ -258,6 +258,34 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.bpe.encode_ordinary(text)
 
 
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "one two<|endoftext|>\n\n<|endoftext|", "it  <|endoftext|>'s 1"]
+
+
+def test_encoder_of_added_tokens_equals_the_json():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(packing.VOCABULARY)
+    assert np.frombuffer(enc.encode("<|endoftext|>"), "<u4").tolist() == [50256] and enc.size == own.get_vocab_size()
+    for text in ADDED:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_added_tokens(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*ADDED, prose(1, 900) + "<|endoftext|>" + prose(2, 900), "plain"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    ids = [np.array(own.encode(t, add_special_tokens=False).ids + [0], "<u4") for t in texts]
+    assert sum(r.length for r in got) == sum(map(len, ids))
+    for r in got:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and zlib.crc32(part.tobytes()) == r.ids_crc32
+
+
 def test_hilbert_neighbours_touch():
     side = np.arange(16)
     cells = np.stack(np.meshgrid(side, side, indexing="ij"), axis=-1).reshape(-1, 2)
