@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from flockline.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 _ORDER_BITS, _STEP = 60, 10  # a document's place in its source; bits that one refinement looks at
+_NO_ID = -(1 << 63)
 
 
 def word_count(text: Column) -> Column:
@@ -43,35 +44,96 @@ def fill(sources: DataFrame, share: float, ceiling: float) -> DataFrame:
         level, clamped = (goal - held) / open_weight, n
 
 
+def _placed(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with ``mix_place`` and, for rows without an id, which share a place, ``mix_sub``: 60 bits to order them by.
+
+    Those are a hash of the row and of its number among equal rows, counted per partition
+    and offset by the partitions before, so neither many such rows nor many equal ones meet in a task.
+    """
+    named = docs.withColumn("mix_place", place(F.col("doc_id").cast("long"), seed))
+    missing = F.col("doc_id").cast("long").isNull()
+    if docs.filter(missing).isEmpty():
+        return named.withColumn("mix_sub", F.lit(0).cast("long"))
+    plain = [docs[f.name] for f in docs.schema.fields if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    rows = named.filter(missing).withColumn("mix_hash", F.xxhash64(*plain)).withColumn("mix_row", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("mix_part", F.shiftright("mix_row", 33)), "unnamed", "zstd")
+    before = Window.partitionBy("mix_hash").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("mix_hash", "mix_part").agg(F.count("*").alias("n"))
+    counts = counts.select("mix_hash", "mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_start"))
+    number = F.col("mix_start") + F.row_number().over(Window.partitionBy("mix_hash", "mix_part").orderBy("mix_row"))
+    sub = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_hash", number), 64 - _ORDER_BITS)
+    rows = rows.join(counts, ["mix_hash", "mix_part"]).withColumn("mix_sub", sub).select(*named.columns, "mix_sub")
+    rows = materialize(rows, "unnamed", "zstd")
+    return named.filter(~missing).withColumn("mix_sub", F.lit(0).cast("long")).union(rows)
+
+
 def _cuts(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source the last place that gets one more repetition: ``(source, cut, cut_id)``.
+    """Per source the last place that gets one more repetition: ``(source, cut, cut_sub, cut_id)``.
 
     Sizes are summed by the leading bits of the place, then by the next bits inside
     the one bucket that the wanted words end in, and only the rest is ordered by row.
+    Rows without an id share a place; where there are any, the bits of ``sub`` follow.
     """
-    same = lambda n: reduce(lambda a, b: a & b, [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in n])
-    bound = sources.select("source", "wanted", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("prefix"))
-    for k in (1, 2):
-        shift = _ORDER_BITS - k * _STEP
-        at = docs.withColumn("prefix", F.shiftright("place", shift + _STEP)).alias("d")
-        inside = at.join(bound.alias("s"), same(["source", "prefix"])).select(
-            "d.source", "wanted", "base", F.shiftright("place", shift).alias("prefix"), "size"
-        )
-        sums = inside.groupBy("source", "wanted", "base", "prefix").agg(F.sum("size").alias("sum"))
+    key = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    zero = F.lit(0).cast("long")
+    shifts = [_ORDER_BITS - k * _STEP for k in (1, 2)]
+    levels = [key(F.shiftright("place", k), zero) for k in shifts]
+    if deep := not docs.filter("doc_id IS NULL").isEmpty():
+        levels += [key(F.col("place"), F.shiftright("sub", k)) for k in shifts]
+    inside = lambda at, bound: at.alias("d").join(
+        bound.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.prefix") == F.col("s.prefix"))
+    )
+    bound = sources.select("source", "wanted", zero.alias("base"), key(zero, zero).alias("prefix"))
+    for outer, level in zip([key(zero, zero), *levels], levels):
+        found = inside(docs.withColumn("prefix", outer), bound).select("d.source", "wanted", "base", level.alias("prefix"), "size")
+        sums = found.groupBy("source", "wanted", "base", "prefix").agg(F.sum("size").alias("sum"))
         run = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("base", F.col("base") + F.coalesce(F.sum("sum").over(run), F.lit(0)))
         ends = sums.filter("base < wanted AND base + sum >= wanted")
         bound = materialize(ends.select("source", "wanted", "base", "prefix"), "bounds")
-    at = docs.withColumn("prefix", F.shiftright("place", _ORDER_BITS - 2 * _STEP)).alias("d")
-    rows = at.join(bound.alias("s"), same(["source", "prefix"])).select("d.source", "wanted", "base", "d.prefix", "place", "id", "size")
-    run = Window.partitionBy("source").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = inside(docs.withColumn("prefix", levels[-1]), bound)
+    rows = rows.select("d.source", "wanted", "base", "d.prefix", "place", "sub", "id", "size")
+    run = Window.partitionBy("source").orderBy("place", "sub", "id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("base") + F.coalesce(F.sum("size").over(run), F.lit(0))
     taken = rows.withColumn("taken", before + F.col("size") / 2 <= F.col("wanted"))
-    start = F.struct(F.shiftleft("prefix", _ORDER_BITS - 2 * _STEP).alias("cut"), F.lit(None).cast("long").alias("cut_id"))
-    last = F.max(F.when(F.col("taken"), F.struct(F.col("place").alias("cut"), F.col("id").alias("cut_id"))))
+    at = lambda a, b, c: F.struct(a.alias("cut"), b.alias("cut_sub"), c.alias("cut_id"))
+    none = F.lit(None).cast("long")
+    start = at(F.col("prefix.a"), F.shiftleft("prefix.b", shifts[-1]), none) if deep else at(F.shiftleft("prefix.a", shifts[-1]), zero, none)
+    last = F.max(F.when(F.col("taken"), at(F.col("place"), F.col("sub"), F.col("id"))))
     return taken.groupBy("source", "prefix").agg(last.alias("last")).select("source", F.coalesce("last", start).alias("at")).select("source", "at.*")
 
 
+def _sized(placed: DataFrame) -> DataFrame:
+    """``doc_id, source, size, mix_place, mix_sub`` of the rows of :func:`_placed`."""
+    light = placed.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"), "mix_place", "mix_sub",
+    )
+    return materialize(light, "sized")
+
+
+def _planned(docs: DataFrame, sized: DataFrame, weights: tuple, share: float, ceiling: float) -> DataFrame:
+    """``docs`` with ``mix_source_size``, ``mix_target`` and ``mix_copies``, found from :func:`_sized`."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # one row per source: the only unpartitioned window, over names, not over documents
+    ordered = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (ordered - 1) % len(weights) + 1)
+    sources = fill(materialize(sources.withColumn("weight", weight), "sources"), share, ceiling)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sources = sources.withColumn("whole", F.floor(ratio)).withColumn("wanted", (ratio - F.floor(ratio)) * F.col("source_size"))
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    named = sized.withColumnsRenamed({"mix_place": "place", "mix_sub": "sub"}).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    cuts = _cuts(named, sources).withColumnRenamed("source", "cut_source")
+    plan = sources.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    plan = plan.select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "source_size", "target", "whole", "cut", "cut_sub", "cut_id")])
+    plan = materialize(plan, "plan")
+    here = F.struct(F.col("mix_place").alias("cut"), F.col("mix_sub").alias("cut_sub"))
+    cut = F.struct(F.col("mix_cut").alias("cut"), F.col("mix_cut_sub").alias("cut_sub"))
+    more = F.col("mix_cut").isNotNull() & ((here < cut) | ((here == cut) & (F.coalesce(doc_id, F.lit(_NO_ID)) <= F.col("mix_cut_id"))))
+    out = docs.join(plan, source.eqNullSafe(F.col("mix_source")))
+    return out.withColumn("mix_copies", F.col("mix_whole") + F.coalesce(more, F.lit(False)).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 7) -> DataFrame:
     """How often the mix takes each document: ``doc_id, size, source, source_size, target, copies, taken``.
 
@@ -81,38 +143,22 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling
     part of target over size; for the fraction, those first in a seeded order are taken
     once more until the words are there, so the result is within half a document of the
     target and the same in every run. Empty texts and sources take nothing. Repeated
-    rows of one id are taken alike; rows without an id are documents like any other.
+    rows of one id and source are taken alike; each row without an id is a document of its
+    own, with a place among the others by a hash of the row.
     """
-    sized = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")
-    )
-    sized = materialize(sized.withColumn("place", place(F.col("doc_id"), seed)), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # one row per source: the only unpartitioned window, over names, not over documents
-    ordered = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (ordered - 1) % len(weights) + 1)
-    sources = fill(materialize(sources.withColumn("weight", weight), "sources"), share, ceiling)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = sources.withColumn("whole", F.floor(ratio)).withColumn("wanted", (ratio - F.floor(ratio)) * F.col("source_size"))
-    keyed = sized.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    cuts = _cuts(keyed, sources).withColumnRenamed("source", "cut_source")
-    plan = sources.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    plan = materialize(plan.withColumnRenamed("source", "plan_source"), "plan")
-    more = F.coalesce(
-        (F.col("place") < F.col("cut")) | ((F.col("place") == F.col("cut")) & (F.col("id") <= F.col("cut_id"))), F.lit(False)
-    )
-    copies = F.col("whole") + more.cast("long")
-    out = keyed.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    sized = _sized(_placed(docs, seed))
+    planned = _planned(sized, sized, weights, share, ceiling)
+    planned = planned.withColumnsRenamed({"mix_source_size": "source_size", "mix_target": "target", "mix_copies": "copies"})
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return planned.select("doc_id", "size", "source", "source_size", "target", "copies", taken)
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 7) -> DataFrame:
     """The mixed table itself: each row of ``docs`` as often as the mix takes it, columns unchanged."""
-    counts = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    counts = counts.select(F.col("doc_id").alias("mix_id"), F.col("copies").alias("mix_copies"))
-    joined = docs.join(counts, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")))
+    placed = _placed(docs, seed)
+    planned = _planned(placed, _sized(placed), weights, share, ceiling)
     each = F.explode(F.expr("CASE WHEN mix_copies > 0 THEN sequence(1, mix_copies) END"))
-    return joined.select(*[docs[c] for c in docs.columns], each.alias("mix_copy")).drop("mix_copy")
+    return planned.select(*docs.columns, each.alias("mix_copy")).drop("mix_copy")
 
 
 def mix_sql(docs: str, seed: int = 7) -> str:

@@ -135,6 +135,23 @@ def test_mixing(docs, nothing):
     assert mixing.repeated(docs).columns == docs.columns
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id, some of them equal, are single documents of their sources."""
+    own = [(None, prose(k, 4 + k % 5), "a", k) for k in range(150)] + [(None, "one two three", "a", 0)] * 90
+    own += [(None, prose(k, 5), "b", k) for k in range(60)] + [(k, prose(k, 6), "b", k) for k in range(20)]
+    df = spark.createDataFrame(own, "doc_id long, text string, source string, n long").repartition(7)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(own)
+    for source in ("a", "b"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 4
+    want = Counter((r.doc_id, r.source, r.size) for r in got for _ in range(r.copies))
+    mixed = mixing.repeated(df)
+    assert mixed.columns == df.columns
+    rows_of = lambda df: Counter((r.doc_id, r.source, len(r.text.split())) for r in df.collect())
+    assert rows_of(mixed) == want == rows_of(mixing.repeated(df.repartition(3)))
+
+
 def test_water_filling_clamps(spark):
     sources = spark.createDataFrame([("a", 10, 5.0), ("b", 100, 2.0), ("c", 1000, 1.0)], "source string, source_size long, weight double")
     got = {r.source: r.target for r in mixing.fill(sources, 1.5, 2.0).collect()}
