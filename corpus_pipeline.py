@@ -30,10 +30,39 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """One row of each ``doc_id`` and each row without one, with a ``near_id`` of its own in the order of ids, null last.
+
+    Of the rows of one id the greatest by text stays. Rows without an id follow each other by
+    a hash, so that it does not depend on the run which of several near copies stays.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS[1:])
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        one = F.max(F.struct(*COLUMNS[1:])).alias("row")
+        folded = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("doc_id", "row.*")
+        docs = docs.join(again, "doc_id", "left_anti").union(folded)
+    if docs.filter("doc_id IS NULL").isEmpty():
+        return docs.withColumn("near_id", F.col("doc_id"))
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64(*COLUMNS)).alias("near_hash")
+    rows = materialize(docs.select("*", tie, F.monotonically_increasing_id().alias("near_row")), "rows", "zstd")
+    order = [F.asc_nulls_last("doc_id"), F.asc("near_hash"), F.asc("near_row")]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranked = materialize(ranked.select(*COLUMNS, F.monotonically_increasing_id().alias("near_id")), "named", "zstd")
+    discard(rows)
+    return ranked
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest id."""
-    classes = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate class: that of the smallest id, those without an id last.
+
+    Rows without an id are documents of their own, rows of one id are one document and one row.
+    """
+    named = _named(docs)
+    classes = minhash.near_duplicates(named.select(F.col("near_id").alias("doc_id"), "text")).filter("NOT kept")
+    return named.join(classes.select(F.col("doc_id").alias("near_id")), "near_id", "left_anti").select(*COLUMNS)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -397,6 +397,21 @@ def test_pipeline(spark):
     assert 0 < docs.count() <= 2 * n and cp.run(spark, path).count() > 0
 
 
+def test_near_dedup_of_rows_without_ids(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (prose(s, 200, 5000) for s in (50, 51, 52, 53))
+    top = (1 << 63) - 1
+    own = [(3, a), (None, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"), (9, c), (9, c), (9, c), (top, d), (None, d), (top - 1, d + " end")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in own], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_dedup(spark, df.repartition(5), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == [(3, a), (9, c), (top - 1, d + " end")]
+    left = [r.text for r in got if r.doc_id is None]
+    assert len(left) == 1 and left[0] in (b, b + " end")
+    assert [r.text for r in cp.near_dedup(spark, df.repartition(2), "").collect() if r.doc_id is None] == left
+    assert cp.near_dedup(spark, df.limit(0), "").columns == df.columns
+
+
 def test_equal_buckets_fold(spark):
     held = {10: [1, 2, 3], 11: [1, 2, 3], 12: [1, 3], 13: [1, 2, 4, 3], 14: [5], 15: [2, 3], 9: [2, 3]}
     rows = [(key, doc) for key, docs in held.items() for doc in docs]
