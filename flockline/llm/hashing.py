@@ -73,21 +73,30 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _WORD_TABLE = numbers(11, 256)[_LOWER]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every lower-cased word, and how many words each text has."""
+def spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of solid bytes, which end with their text."""
     if not len(data):
-        return np.zeros(0, "uint64"), np.zeros(len(offsets) - 1, "int64")
-    solid = _SOLID[data]
+        return np.zeros(0, "int64"), np.zeros(0, "int64")
+    good = solid[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1] | edge[1:-1]
-    last[:-1] &= ~solid[1:] | edge[1:-1]
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    first, last = good.copy(), good.copy()
+    first[1:] &= ~good[:-1] | edge[1:-1]
+    last[:-1] &= ~good[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of the lower-cased bytes of every span."""
     sums = prefix_hash(data, _WORD_TABLE)
     raw = (sums[b] - sums[a]) * powers(len(data) + 1, inverse=True)[a]
-    counts = np.diff(np.searchsorted(a, offsets))
-    return mix(raw + (b - a).astype("uint64") * np.uint64(0xD6E8FEB86659FD93)), counts
+    return mix(raw + (b - a).astype("uint64") * np.uint64(0xD6E8FEB86659FD93))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every lower-cased word, and how many words each text has."""
+    a, b = spans(data, offsets)
+    return span_hashes(data, a, b), np.diff(np.searchsorted(a, offsets))
 
 
 def _fold(parts: list[np.ndarray]) -> np.ndarray:

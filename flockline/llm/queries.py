@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockline.llm import chat, hnsw, langid, lines, minhash, mixing, packing, reputation, suffixes, topk
+from flockline.llm import bpe, chat, hnsw, langid, lexical, lines, minhash, mixing, packing, phrases, reputation, suffixes, topk
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_exact_topk(spark: SparkSession, path: str) -> DataFrame:
     return topk.top_k(read(spark, path, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, path: str) -> DataFrame:
+    return lexical.search(read(spark, path, "documents"), read(spark, path, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(read(spark, path, "documents")))
+    digests = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return rows.select("doc_id", "n_tokens", *digests)
+
+
+def op13_collocations(spark: SparkSession, path: str) -> DataFrame:
+    return phrases.collocations(read(spark, path, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -65,10 +79,15 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op6_chat_rotation": chat.rotate_sql(),
     "op2_source_mixing": f"WITH {mixing.mix_sql('documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
     "op8_url_reputation": reputation.judge_sql(),
     "op9_line_dedup": f"WITH {lines.lines_sql('documents')} SELECT doc_id, n_lines, n_removed, text FROM cleaned",
+    "op11_lexical_search": lexical.search_sql("documents", "benchmark"),
+    "op13_collocations": phrases.collocations_sql("documents"),
 }
