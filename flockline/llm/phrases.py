@@ -27,7 +27,7 @@ from flockline.llm.hashing import mix, numbers, span_hashes, spans, text_chunks
 from flockline.session import discard, materialize
 
 SHARD_BYTES = 32 << 20  # text whose n-grams are counted together
-RANGE_BYTES = 16 << 20  # text for each range of the united automata
+RANGE_BYTES = 64 << 20  # text for each range of the united automata
 FILTER_BITS = 1 << 26  # of the broadcast filter: 8 MB
 LONGEST = 5
 NO_LANG = "und"
@@ -39,8 +39,7 @@ _WORD = ~_ENDS
 _WORD[[0x09, 0x20]] = False
 _STEPS = numbers(29, LONGEST)
 
-_AUTOMATON = "symbols array<binary>, labels array<array<int>>, fans array<array<int>>, weights array<long>"
-_KEY = "lang string, length int, slice int"
+_ROW = "lang string, length int, slice int, automaton binary"
 
 
 def path_hash(lang: str, words: list[np.ndarray]) -> np.ndarray:
@@ -77,6 +76,30 @@ class Automaton:
             above = here
         return cls(symbols, labels, fans, weights)
 
+    def pack(self) -> bytes:
+        """Compressed bytes: a head of counts, the symbols, then every array in its smallest type."""
+        words = b" ".join(self.symbols)  # a word has no blank
+        arrays = [*self.labels, *self.fans, self.weights]
+        small = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in arrays]
+        head = [len(self.labels), len(self.symbols), len(words)] + [n for x in small for n in (len(x), x.itemsize)]
+        raw = b"".join([np.array(head, "<i8").tobytes(), words, *[x.tobytes() for x in small]])
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+    @classmethod
+    def unpack(cls, packed: pa.Buffer) -> "Automaton":
+        size = int.from_bytes(packed[:8].to_pybytes(), "little")
+        raw = memoryview(pa.decompress(packed[8:], size, "zstd"))
+        depth, symbols, words = np.frombuffer(raw, "<i8", 3).tolist()
+        shapes = np.frombuffer(raw, "<i8", 4 * depth + 2, 24).reshape(-1, 2).tolist()
+        at = 24 + 8 * (4 * depth + 2)
+        spelled = bytes(raw[at : at + words]).split(b" ") if symbols else []
+        at += words
+        arrays = []
+        for n, width in shapes:
+            arrays.append(np.frombuffer(raw, f"<u{width}", n, at).astype("int64"))
+            at += n * width
+        return cls(spelled, arrays[:depth], arrays[depth:-1], arrays[-1])
+
     def paths(self) -> np.ndarray:
         """All paths in order, as rows of symbol numbers."""
         columns: list[np.ndarray] = []
@@ -129,10 +152,6 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return span_hashes(data, ends - np.diff(ends, prepend=0), ends) if len(words) else np.zeros(0, "uint64")
 
 
-def _nested(parts: list[list[np.ndarray]], kind: pa.DataType) -> pa.Array:
-    return pa.array([[list(x) for x in part] for part in parts], pa.list_(pa.list_(kind)))
-
-
 def _rows(found: list[tuple[str, int, int, Automaton]]) -> pa.RecordBatch:
     langs, lengths, slices, automata = zip(*found)
     return pa.RecordBatch.from_arrays(
@@ -140,19 +159,14 @@ def _rows(found: list[tuple[str, int, int, Automaton]]) -> pa.RecordBatch:
             pa.array(langs, pa.string()),
             pa.array(lengths, pa.int32()),
             pa.array(slices, pa.int32()),
-            pa.array([x.symbols for x in automata], pa.list_(pa.binary())),
-            _nested([x.labels for x in automata], pa.int32()),
-            _nested([x.fans for x in automata], pa.int32()),
-            pa.array([x.weights for x in automata], pa.list_(pa.int64())),
+            pa.array([x.pack() for x in automata], pa.binary()),
         ],
-        names=["lang", "length", "slice", "symbols", "labels", "fans", "weights"],
+        names=["lang", "length", "slice", "automaton"],
     )
 
 
 def _read(batch: pa.RecordBatch | pa.Table, row: int) -> Automaton:
-    get = lambda name: batch.column(name)[row].values
-    nested = lambda name: [x.values.to_numpy().astype("int64") for x in get(name)]
-    return Automaton(get("symbols").to_pylist(), nested("labels"), nested("fans"), get("weights").to_numpy())
+    return Automaton.unpack(batch.column("automaton")[row].as_buffer())
 
 
 class Bloom:
@@ -213,6 +227,7 @@ class _Words:
             return
         hashes, begins = np.concatenate(self.hashes), np.concatenate(self.begins)
         distinct, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        word = word.astype("int32")
         open_ = np.ones(len(hashes), bool)  # places where an n-gram of the last length may be frequent
         if lengths[0] == 2:
             open_ = seen.holds(path_hash(lang, [distinct]))[word]
@@ -237,10 +252,11 @@ class _Words:
         chosen = np.flatnonzero(used)
         spelled = self._spelled(first[chosen])
         order = sorted(range(len(chosen)), key=spelled.__getitem__)
-        number = np.zeros(len(distinct), "int64")
+        number = np.zeros(len(distinct), "int32")
         number[chosen[order]] = np.arange(len(chosen))
         symbols = [spelled[k] for k in order]
         named, own = number[word], distinct[chosen[order]]
+        del hashes, word, open_
         for length, at in places:
             paths = np.stack([named[at + k] for k in range(length)], axis=1)
             paths = paths[np.lexsort(paths.T[::-1])]
@@ -290,8 +306,8 @@ def count_shards(docs: DataFrame, lengths: tuple[int, ...], seen: Bloom | None,
                 words.read(chunk)
             for hashes, automaton in words.grams(lang, lengths, shared.value):
                 cut = _cut(lang, hashes, automaton, slices)
-                for lo in range(0, len(cut), 64):
-                    yield _rows(cut[lo : lo + 64])
+                for lo in range(0, len(cut), 256):
+                    yield _rows(cut[lo : lo + 256])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -307,7 +323,7 @@ def count_shards(docs: DataFrame, lengths: tuple[int, ...], seen: Bloom | None,
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.mapInArrow(run, f"{_KEY}, {_AUTOMATON}")
+    return docs.mapInArrow(run, _ROW)
 
 
 def unite_ranges(shards: DataFrame, least: int, slices: int) -> DataFrame:
@@ -320,14 +336,11 @@ def unite_ranges(shards: DataFrame, least: int, slices: int) -> DataFrame:
         return pa.Table.from_batches([batch]).append_column("total", pa.array([int(whole.weights.sum())], pa.int64()))
 
     dealt = shards.repartition(max(slices, 1), "lang", "length", "slice")
-    return dealt.groupBy("lang", "length", "slice").applyInArrow(run, f"{_KEY}, {_AUTOMATON}, total long")
+    return dealt.groupBy("lang", "length", "slice").applyInArrow(run, f"{_ROW}, total long")
 
 
 def _count(docs: DataFrame, lengths: tuple[int, ...], least: int, seen: Bloom | None, slices: int) -> DataFrame:
-    shards = materialize(count_shards(docs, lengths, seen, slices), "shards", "zstd")
-    found = materialize(unite_ranges(shards, least, slices), "united", "zstd")
-    discard(shards)
-    return found
+    return materialize(unite_ranges(count_shards(docs, lengths, seen, slices), least, slices), "united", "zstd")
 
 
 def candidates(automata: DataFrame, slices: int) -> DataFrame:
@@ -384,11 +397,11 @@ def exact_score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top.cast("decimal(38,0)"), (wide(left) * wide(right)).cast("decimal(38,0)")).cast("long")
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the phrases of 2 to 5 words, ranked within each language.
 
     ``least`` is the count that makes a phrase a candidate; ``top`` ends each language's
-    ranks, None keeps all. Every row of ``docs`` counts, repeated ids included. A null text
+    ranks. Every row of ``docs`` counts, repeated ids included. A null text
     has no words, a null lang is ``und``; texts may have any length, and other columns are
     ignored. Words are numbered by 64-bit hashes inside a shard; automata hold their bytes.
     """
@@ -420,7 +433,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000) -> D
     best = scored.groupBy("lang", "phrase", "a", "n").agg(lowest).join(inner.distinct(), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("a"), F.asc("phrase"))
     ranked = best.withColumn("rank", F.row_number().over(order).cast("long"))
-    ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
+    ranked = ranked.filter(F.col("rank") <= top)
     out = materialize(
         ranked.select("lang", "rank", F.col("phrase").cast("string").alias("phrase"), "a", "s.l", "s.r", "n", "s.score"), "collocations"
     )
