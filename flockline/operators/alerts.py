@@ -10,6 +10,7 @@ from flockline.functions import text as tx
 from flockline.functions import vectors as vx
 from flockline.operators.kernel import Rule, match_rows
 from flockline.operators.leaders import first_independent
+from flockline.operators.vectors import UNDATED
 from flockline.operators.windows import hours_between
 from flockline.session import materialize
 
@@ -132,7 +133,7 @@ def alert_drafts(candidates: DataFrame, keywords: DataFrame, alerted_at: Column)
 def _alert_nodes(alerts: DataFrame) -> DataFrame:
     return alerts.select(
         F.col("alert_id").alias("id"),
-        F.unix_micros("alerted_at").alias("ts"),
+        F.coalesce(F.unix_micros("alerted_at"), F.lit(UNDATED)).alias("ts"),
         vx.normalize(vx.doubles(F.col("embedding"))).alias("vec"),
         F.col("fingerprint").alias("tag"),
     )

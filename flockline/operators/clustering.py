@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,9 +17,10 @@ from flockline.operators import vectors as vo
 from flockline.operators.kernel import Rule, match_rows
 from flockline.operators.leaders import first_independent
 from flockline.operators.windows import running_count
-from flockline.session import materialize
+from flockline.session import discard, materialize
 
 BUCKET_ROWS = 8192  # rows that one task folds into local summaries
+FOLD_ROWS = 4096  # rows of a batch that one task walks through in order
 
 
 def select_leaders(nodes: DataFrame, threshold: float, strict: bool = False, **blocks) -> DataFrame:
@@ -46,7 +49,7 @@ def leader_cluster(
     return led.select(
         F.when(F.col("leads"), F.col("id")).otherwise(F.col("match_id")).cast("string").alias("cluster_id"),
         F.col("id").alias("post_id"),
-        F.timestamp_micros("ts").alias("joined_at"),
+        vo.node_time().alias("joined_at"),
         F.when(F.col("leads"), 1.0).otherwise(F.col("similarity")).alias("similarity"),
     )
 
@@ -120,40 +123,81 @@ def feature_centroids(features: DataFrame) -> DataFrame:
     )
 
 
-def assign_incremental(
-    features: DataFrame, batch: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD, strict: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(members of the batch, merged features) for stored features and a new batch of vectors.
+def _fold_batch(rows: DataFrame, stored: DataFrame, threshold: float, strict: bool) -> DataFrame:
+    """Choices of a batch that one task walks through in arrival order."""
 
-    A row joins the most similar of the stored centroids and the earlier new
-    leaders of its batch; a row near neither starts a cluster under its own id.
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaders, vecs = [], None
+        for pdf in batches:
+            chosen, scores, led = [], [], []
+            for pid, vec, home, near in zip(pdf["id"], pdf["vec"], pdf["match_id"], pdf["similarity"]):
+                v = np.asarray(vec, dtype=float)
+                best, at = -np.inf, -1
+                if leaders:
+                    s = np.floor(vecs[: len(leaders)] @ v * 1e6 + 0.5) / 1e6
+                    at = int(s.argmax())
+                    best = s[at] if (s[at] > threshold if strict else s[at] >= threshold) else -np.inf
+                held = home is not None and near >= best
+                lead = home is None and best == -np.inf
+                if lead:
+                    if vecs is None or len(leaders) == len(vecs):
+                        more = np.zeros((max(64, len(leaders)), len(v)))
+                        vecs = more if vecs is None else np.vstack([vecs, more])
+                    vecs[len(leaders)] = v
+                    leaders.append(str(pid))
+                chosen.append(home if held else str(pid) if lead else leaders[at])
+                scores.append(near if held else 1.0 if lead else best)
+                led.append(lead)
+            yield pd.DataFrame({"id": pdf["id"], "cluster_id": chosen, "similarity": scores, "leads": led})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    placed = rows.join(stored.select("id", "match_id", "similarity"), "id", "left").select("ts", "id", "vec", "match_id", "similarity")
+    ordered = placed.repartition(1).sortWithinPartitions("ts", "id")
+    return ordered.mapInPandas(walk, f"id {kind}, cluster_id string, similarity double, leads boolean")
+
+
+def assign_batch(
+    homes: DataFrame,
+    rows: DataFrame,
+    threshold: float = K.SIMILARITY_THRESHOLD,
+    strict: bool = False,
+    fold_rows: int = FOLD_ROWS,
+    counted: int | None = None,
+) -> DataFrame:
+    """(id, cluster_id, similarity, leads) of a batch, given stored centroids, both as kernel rows.
+
+    A row joins the most similar of the stored centroids and the earlier new leaders of its
+    batch, the stored one among equals; a row near neither starts a cluster under its own
+    id. A batch of at most ``fold_rows`` rows is walked through by one task once the stored
+    centroids are compared; a larger one selects its leaders by prefixes. Both give the same.
     """
-    rows = materialize(vo.one_per_id(vo.nodes(vo.drop_zero_vectors(batch))), "batch")
-    homes = materialize(vo._cluster_nodes(feature_centroids(features)), "centroids")
-    stored = materialize(match_rows(rows, homes, Rule(theta=threshold, strict=strict)), "stored")
-    fresh = materialize(rows.join(stored, "id", "left_anti"), "fresh")
-    leaders = select_leaders(fresh, threshold, strict)
+    stored = match_rows(rows, homes, Rule(theta=threshold, strict=strict))
+    if (rows.count() if counted is None else counted) <= fold_rows:
+        return _fold_batch(rows, stored, threshold, strict)
+    stored = materialize(stored, "stored")
+    leaders = select_leaders(materialize(rows.join(stored, "id", "left_anti"), "fresh"), threshold, strict)
     new = match_rows(rows, leaders, Rule(theta=threshold, strict=strict, earlier=True))
+    own = F.col("id").cast("string").alias("match_id")
     choice = (
-        stored.select("id", "similarity", F.lit(0).alias("o"), "match_id")
+        stored.select("id", "similarity", F.lit(0).alias("o"), F.col("match_id").cast("string").alias("match_id"))
         .unionByName(new.select("id", "similarity", F.lit(-1).alias("o"), F.col("match_id").cast("string").alias("match_id")))
-        .unionByName(
-            leaders.select("id", F.lit(1.0).alias("similarity"), F.lit(-2).alias("o"), F.col("id").cast("string").alias("match_id"))
-        )
+        .unionByName(leaders.select("id", F.lit(1.0).alias("similarity"), F.lit(-2).alias("o"), own))
         .groupBy("id")
         .agg(F.max(F.struct("similarity", "o", "match_id")).alias("c"))
     )
-    members = materialize(
-        rows.join(choice, "id").select(
-            F.col("c.match_id").alias("cluster_id"),
-            F.col("id").alias("post_id"),
-            F.timestamp_micros("ts").alias("joined_at"),
-            F.col("c.similarity").alias("similarity"),
-            (F.col("c.o") == -2).alias("leads"),
-            "vec",
-        ),
-        "assigned",
-    )
+    return choice.select("id", F.col("c.match_id").alias("cluster_id"), "c.similarity", (F.col("c.o") == -2).alias("leads"))
+
+
+def assign_incremental(
+    features: DataFrame, batch: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD, strict: bool = False, **fold
+) -> tuple[DataFrame, DataFrame]:
+    """(members of the batch, merged features) for stored features and a new batch of vectors."""
+    rows = materialize(vo.one_per_id(vo.nodes(vo.drop_zero_vectors(batch))), "batch")
+    homes = materialize(vo._cluster_nodes(feature_centroids(features)), "centroids")
+    chosen = assign_batch(homes, rows, threshold, strict, **fold)
+    columns = ["cluster_id", F.col("id").alias("post_id"), vo.node_time().alias("joined_at"), "similarity", "leads", "vec"]
+    members = materialize(rows.join(chosen, "id").select(*columns), "assigned")
+    discard(homes)
     merged = merge_features(features, vo.vector_sums(members))
     return members.drop("vec"), merged
 

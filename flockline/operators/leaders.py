@@ -112,10 +112,12 @@ def first_independent(
     itself, then its leaders remove everything they match from the rest. A
     large group of near copies therefore falls to its first leader early and
     its inner pairs are never listed; a row keeps at most ``neighbours + 1`` links.
+    Rows without a time are the earliest.
     """
     link = replace(rule, keep="first", k=neighbours + 1, earlier=True)
     hit = replace(rule, keep="first", k=1, earlier=True)
-    rest, chosen, prefix = materialize(nodes, "nodes"), None, first_prefix
+    rest = materialize(nodes.withColumn("ts", F.coalesce("ts", F.lit(-(1 << 62)))), "nodes")
+    chosen, prefix = None, first_prefix
     for _ in range(MAX_ROUNDS):
         n = rest.count()
         if not n:

@@ -101,13 +101,15 @@ def coherence(members: DataFrame, vectors: DataFrame, block_rows: int = 8192) ->
     )
 
 
+def coherence_of_sums(n: Column, linear_sum: Column, square_sum: Column) -> Column:
+    """Mean cosine over all pairs of ``n`` unit vectors, from their additive summary alone."""
+    return F.when(n < 2, 1.0).otherwise((vx.dot(linear_sum, linear_sum) - square_sum) / (n * (n - 1)))
+
+
 def coherence_fast(features: DataFrame) -> DataFrame:
     """Mean over all pairs of unit vectors, from the additive summary alone."""
-    n = F.col("n")
-    pairs = vx.dot(F.col("linear_sum"), F.col("linear_sum")) - F.col("square_sum")
-    return features.select(
-        "cluster_id", F.when(n < 2, 1.0).otherwise(pairs / (n * (n - 1))).alias("coherence")
-    )
+    found = coherence_of_sums(F.col("n"), F.col("linear_sum"), F.col("square_sum"))
+    return features.select("cluster_id", found.alias("coherence"))
 
 
 def low_coherence(

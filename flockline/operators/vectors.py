@@ -16,6 +16,7 @@ from flockline.operators.kernel import Rule, match_rows
 from flockline.session import materialize
 
 MAX_LITERAL_TOPICS = 256
+UNDATED = -(1 << 62)  # rows without a time come before all others
 
 
 def l2_normalize(vectors: DataFrame, col: str = "embedding") -> DataFrame:
@@ -27,13 +28,18 @@ def drop_zero_vectors(vectors: DataFrame, col: str = "embedding") -> DataFrame:
 
 
 def nodes(vectors: DataFrame, ts: Column | None = None) -> DataFrame:
-    """(id, ts in microseconds, unit vec): the input form of the comparison kernel."""
+    """(id, ts in microseconds, unit vec): the input form of the comparison kernel. Rows without a time are the earliest."""
     when = F.unix_micros("created_at") if ts is None else ts
     return vectors.select(
-        "id", when.alias("ts"), vx.normalize(vx.doubles(F.col("embedding"))).alias("vec")
+        "id", F.coalesce(when, F.lit(UNDATED)).alias("ts"), vx.normalize(vx.doubles(F.col("embedding"))).alias("vec")
     )
 
 
+def node_time(ts: str = "ts") -> Column:
+    """The time of a kernel row; null where it has none."""
+    return F.when(F.col(ts) > UNDATED, F.timestamp_micros(ts))
+
+
 def one_per_id(rows: DataFrame) -> DataFrame:
     """Kernel rows with repeated ids folded to their first appearance (ties to the smaller vector)."""
     return rows.groupBy("id").agg(F.min(F.struct("ts", "vec")).alias("first")).select("id", "first.*")

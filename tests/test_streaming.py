@@ -52,6 +52,7 @@ def test_engine_equals_batches_and_replays(spark, tmp_path):
         features = spark.createDataFrame(features.collect(), features.schema)
     assert once[0] == expected
     assert sum(n for _, n, _ in once[1]) == 21
+    assert e.outbox().count() == len(once[2])
     assert len(once[2]) == len({a.rsplit("_", 1)[0] for a in once[2]})  # a cluster alerts once
 
 

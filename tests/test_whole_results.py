@@ -102,3 +102,28 @@ def test_many_rules_are_joined(spark, monkeypatch):
     assert {tuple(r) for r in alerts.rule_matches(clusters, rules).collect()} == want
     monkeypatch.setattr(alerts, "INLINE_RULES", 1)
     assert {tuple(r) for r in alerts.rule_matches(clusters, rules).collect()} == want
+
+
+def test_rows_without_a_time_are_the_earliest(spark):
+    rows = [(k, None if k % 4 == 0 else k, [float(k == d) for d in range(12)]) for k in range(12)]
+    df = spark.createDataFrame(rows, "id long, t long, embedding array<double>").withColumn("created_at", F.timestamp_seconds("t"))
+    got = clustering.leader_cluster(df, 0.7)
+    nodes = clustering.vo.nodes(df)
+    for prefix in (65_536, 4):
+        led = clustering.first_independent(nodes, clustering.Rule(theta=0.7), first_prefix=prefix)
+        assert sorted(r.id for r in led.collect()) == list(range(12))
+    assert sorted((r.post_id, r.joined_at is None) for r in got.collect()) == [(k, k % 4 == 0) for k in range(12)]
+
+
+def test_batches_are_walked_or_selected_alike(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(9, 6))
+    rows = [(k, k // 3, (base[rng.integers(9)] + 0.25 * rng.normal(size=6)).tolist()) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, t long, embedding array<double>").withColumn("created_at", F.timestamp_seconds("t"))
+    none = spark.createDataFrame([], "cluster_id string, n bigint, linear_sum array<double>, square_sum double")
+    first, features = clustering.assign_incremental(none, df.filter("id < 50"), 0.8)
+    results = []
+    for fold_rows in (4096, 0):
+        members, _ = clustering.assign_incremental(features, df.filter("id >= 50"), 0.8, fold_rows=fold_rows)
+        results.append(sorted((r.post_id, r.cluster_id, r.similarity, r.leads) for r in members.collect()))
+    assert results[0] == results[1] and 0 < sum(r[3] for r in results[0]) < 70
