@@ -160,12 +160,13 @@ def dedupe_alerts(
     they suppress within the cooldown, whatever their times and ids.
     """
     rule = _conflict(similarity, cooldown_hours)
-    rows = materialize(_alert_nodes(drafts), "drafts")
-    if history is not None:
+    rows = _alert_nodes(drafts)
+    if history is not None and not history.isEmpty():
+        rows = materialize(rows, "drafts")
         past = materialize(_alert_nodes(history), "history")
         before = _conflict(similarity, cooldown_hours, earlier=False)
         hits = match_rows(rows, past, before, **blocks).select("id").distinct()
-        rows = materialize(rows.join(hits, "id", "left_anti"), "open")
+        rows = rows.join(hits, "id", "left_anti")
     kept = first_independent(rows, rule, **blocks).withColumn("kept", F.lit(True))
     return drafts.join(kept.withColumnRenamed("id", "alert_id"), "alert_id", "left").withColumn(
         "kept", F.coalesce("kept", F.lit(False))

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flockline.operators.kernel import Rule, match_rows
+from flockline.operators.kernel import Block, Rule, compare, match_rows
 from flockline.session import materialize
 
+WALK_ROWS = 4096  # rows that one task walks through in order
 NEIGHBOURS = 32
 FIRST_PREFIX = 65_536
 PREFIX_GROWTH = 8
@@ -104,6 +105,7 @@ def first_independent(
     rule: Rule,
     neighbours: int = NEIGHBOURS,
     first_prefix: int = FIRST_PREFIX,
+    walk_rows: int = WALK_ROWS,
     **blocks,
 ) -> DataFrame:
     """Ids of the rows that no earlier selected row matches.
@@ -112,12 +114,15 @@ def first_independent(
     itself, then its leaders remove everything they match from the rest. A
     large group of near copies therefore falls to its first leader early and
     its inner pairs are never listed; a row keeps at most ``neighbours + 1`` links.
-    Rows without a time are the earliest.
+    Rows without a time are the earliest. At most ``walk_rows`` rows are decided by one
+    task, one after the other; the result is the same.
     """
     link = replace(rule, keep="first", k=neighbours + 1, earlier=True)
     hit = replace(rule, keep="first", k=1, earlier=True)
     rest = materialize(nodes.withColumn("ts", F.coalesce("ts", F.lit(-(1 << 62)))), "nodes")
     chosen, prefix = None, first_prefix
+    if rest.count() <= walk_rows:
+        return _walked(rest, hit)
     for _ in range(MAX_ROUNDS):
         n = rest.count()
         if not n:
@@ -150,6 +155,25 @@ def first_independent(
     return nodes.limit(0).select("id") if chosen is None else chosen.select("id")
 
 
+def _walked(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Ids of the selected rows, by one task that holds all of a few rows."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        whole = Block.of(pd.concat(held, ignore_index=True))
+        chosen: list[int] = []
+        for k in range(len(whole.ids)):
+            row = whole.part(slice(k, k + 1))
+            if not chosen or next(compare(row, whole.part(chosen), rule), None) is None:
+                chosen.append(k)
+        yield pd.DataFrame({"id": whole.ids[chosen]})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.repartition(1).sortWithinPartitions("ts", "id").mapInPandas(walk, f"id {kind}")
+
+
 def _unmatched(rows: DataFrame, leaders: DataFrame, rule: Rule, blocks: dict) -> DataFrame:
     hits = match_rows(rows, materialize(leaders, "leaders"), rule, **blocks).select("id").distinct()
     return materialize(rows.join(hits, "id", "left_anti"), "rest")

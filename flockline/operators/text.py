@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,9 @@ from flockline.functions import text as tx
 from flockline.functions import vectors as vx
 
 
+_KEPT: WeakKeyDictionary[SparkContext, dict] = WeakKeyDictionary()
+
+
 def derive(df: DataFrame, value: Column, fields: Callable[[Column], Column]) -> DataFrame:
     """Add the fields of the struct ``fields(value)``, each evaluated once per row.
 
@@ -27,13 +32,24 @@ def derive(df: DataFrame, value: Column, fields: Callable[[Column], Column]) ->
     return made.select(*df.columns, "__made.*")
 
 
+def _kept(key: tuple, make: Callable):
+    """What ``make`` builds, once per Spark context: long literal lists take a second, which micro-batches feel."""
+    known = _KEPT.setdefault(SparkContext._active_spark_context, {})
+    if key not in known:
+        known[key] = make()
+    return known[key]
+
+
+def _prepared() -> Column:
+    cleaned = tx.remove_stop_words(tx.clean_text(F.col("text")))
+    fields = lambda c: F.struct(c.alias("cleaned_text"), tx.is_meaningful(c).alias("is_meaningful"))
+    return F.explode(F.transform(F.array(cleaned), fields)).alias("__made")
+
+
 def prepare_posts(posts: DataFrame) -> DataFrame:
     """Add ``cleaned_text`` (stop words gone) and ``is_meaningful``; null text never fails."""
-    return derive(
-        posts,
-        tx.remove_stop_words(tx.clean_text(F.col("text"))),
-        lambda c: F.struct(c.alias("cleaned_text"), tx.is_meaningful(c).alias("is_meaningful")),
-    )
+    made = posts.select("*", _kept(("prepared",), _prepared))
+    return made.select(*posts.columns, "__made.*")
 
 
 def meaningful_posts(prepared: DataFrame) -> DataFrame:
@@ -160,9 +176,9 @@ def embed_posts(
             F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(2 * dim)
         ).cast("string"),
     )
-    counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(2 * dim)], inputCol="__slots", outputCol="__counts"
-    )
+    slots_named = [str(i) for i in range(2 * dim)]
+    make = lambda: CountVectorizerModel.from_vocabulary(slots_named, inputCol="__slots", outputCol="__counts")
+    counter = _kept(("counter", dim), make)
     counted = counter.transform(posts.withColumn("__slots", slots))
     unit = derive(
         counted,

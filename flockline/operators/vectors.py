@@ -55,23 +55,21 @@ def cosine_pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def topic_match(rows: DataFrame, topics: DataFrame, col: str = "embedding") -> DataFrame:
     """Best topic by cosine, strictly positive, ties to the first in configured order.
 
-    Topics are configuration: their number is checked, and they enter the plan
-    as literals, so matching is a projection without any join.
+    Topics are configuration. Up to ``MAX_LITERAL_TOPICS`` enter the plan as literals, so
+    matching is a projection without any join; more are compared as stored rows, where
+    similarities below a millionth count as none.
     """
     known = topics.filter(vx.is_nonzero(F.col("embedding"))).orderBy("ord").limit(MAX_LITERAL_TOPICS + 1)
-    table = known.select("ord", "title", "embedding").collect()
+    table = known.select("ord", "title", vx.normalize(vx.doubles(F.col("embedding"))).alias("unit")).collect()
     if len(table) > MAX_LITERAL_TOPICS:
-        raise ValueError(f"more than {MAX_LITERAL_TOPICS} topics: use nearest_clusters instead")
+        return _topic_join(rows, topics, col)
     if not table:
         return rows.withColumn("topic", F.lit(None).cast("string")).withColumn(
             "topic_similarity", F.lit(0.0)
         )
+    numbers = lambda unit: F.expr("array(" + ",".join(f"double('{float(x)!r}')" for x in unit) + ")")
     scored = [
-        F.struct(
-            vx.dot(F.col("__unit"), vx.normalize(F.array(*[F.lit(float(x)) for x in t["embedding"]]))).alias("s"),
-            F.lit(-t["ord"]).alias("o"),
-            F.lit(t["title"]).alias("title"),
-        )
+        F.struct(vx.dot(F.col("__unit"), numbers(t["unit"])).alias("s"), F.lit(-t["ord"]).alias("o"), F.lit(t["title"]).alias("title"))
         for t in table
     ]
     best = F.array_max(F.array(*scored))
@@ -85,6 +83,18 @@ def topic_match(rows: DataFrame, topics: DataFrame, col: str = "embedding") -> D
     )
 
 
+def _topic_join(rows: DataFrame, topics: DataFrame, col: str) -> DataFrame:
+    unit = lambda c: vx.normalize(vx.doubles(F.col(c))).alias("vec")
+    keyed = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    probes = keyed.filter(vx.is_nonzero(F.col(col))).select(F.col("__row").alias("id"), F.lit(0).cast("bigint").alias("ts"), unit(col))
+    order = F.col("ord").cast("bigint")
+    homes = topics.filter(vx.is_nonzero(F.col("embedding"))).select(order.alias("id"), order.alias("ts"), unit("embedding"))
+    found = match_rows(probes, materialize(homes, "topics"), Rule(theta=0.0, strict=True))
+    named = found.join(topics.select(order.alias("match_id"), F.col("title").alias("topic")), "match_id")
+    best = named.select(F.col("id").alias("__row"), "topic", F.col("similarity").alias("topic_similarity"))
+    return keyed.join(best, "__row", "left").withColumn("topic_similarity", F.coalesce("topic_similarity", F.lit(0.0))).drop("__row")
+
+
 def _cluster_nodes(clusters: DataFrame) -> DataFrame:
     return clusters.select(
         F.col("cluster_id").alias("id"),

@@ -33,7 +33,7 @@ from flockline.operators.quality import coherence_of_sums
 from flockline.operators.text import embed_posts, prepare_posts
 from flockline.operators.vectors import topic_match, vector_sums
 from flockline.operators.windows import SLIDE_HOURS, is_expired
-from flockline.session import discard, exists, materialize, remove, spread
+from flockline.session import discard, exists, materialize, remove
 
 _HOUR = 3_600_000_000
 _POST = "text string, author_username string, like_count int, retweet_count int, reply_count int"
@@ -203,7 +203,7 @@ class StreamEngine:
         posts = posts.na.fill(0, ["like_count", "retweet_count", "reply_count"])
         newest = F.max(F.unix_micros("created_at"))
         posts = posts.withColumn("id", F.col("id").cast("string")).observe(seen, F.count(F.lit(1)).alias("processed"), newest.alias("newest"))
-        prepared = prepare_posts(spread(posts, "id"))
+        prepared = prepare_posts(posts)
         embed = self.embed or (lambda rows: embed_posts(rows, self.dim))
         found = embed(prepared).filter("is_meaningful AND created_at IS NOT NULL AND id IS NOT NULL").filter(vx.is_nonzero(F.col("embedding")))
         rows = found.select(

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -117,18 +117,22 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
 
 
 def stream_stats(stream: DataFrame, name: str = "stats") -> DataFrame:
-    """Processed and meaningful counts of each micro-batch.
+    """Processed and meaningful counts of each micro-batch, whose rows go to a table.
 
-    Every batch writes its own partition, so no batch is forgotten however many
-    there are, and a batch that is run again replaces its counts.
+    The counts are observed while the rows are written, so no batch is read twice. Every
+    batch writes its own partitions: none is forgotten however many there are, and a batch
+    that is run again replaces its rows and counts.
     """
     spark: SparkSession = stream.sparkSession
     path = scratch_path(spark, name)
     schema = "processed bigint, meaningful bigint, batch_id bigint"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.agg(F.count("*").alias("processed"), F.count_if("is_meaningful").alias("meaningful"))
-        counts.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+        seen = Observation()
+        rows = batch.observe(seen, F.count(F.lit(1)).alias("processed"), F.count_if("is_meaningful").alias("meaningful"))
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        counts = [(seen.get["processed"], seen.get["meaningful"])]
+        spark.createDataFrame(counts, "processed bigint, meaningful bigint").write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(keep)

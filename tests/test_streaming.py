@@ -56,6 +56,43 @@ def test_engine_equals_batches_and_replays(spark, tmp_path):
     assert len(once[2]) == len({a.rsplit("_", 1)[0] for a in once[2]})  # a cluster alerts once
 
 
+def test_repeats_and_late_posts_change_nothing_and_windows_leave(spark, tmp_path):
+    e = engine(spark, tmp_path / "c")
+    e.process(batch(spark, 0, 12), 0)
+    before = {(r["cluster_id"], r["n"]) for r in e.clusters().collect()}
+    e.process(batch(spark, 0, 12).union(batch(spark, 3, 2)), 1)
+    assert {(r["cluster_id"], r["n"]) for r in e.clusters().collect()} == before
+    assert e.members().count() == 12
+    shift = lambda k, days: batch(spark, k, 6).withColumn("created_at", F.lit(START + timedelta(days=days)))
+    e.process(shift(20, 1.5), 2)  # the window of the first twelve is too old now
+    counts = {r["batch_id"]: r for r in e.batches().collect()}
+    assert counts[1]["repeated"] == 14 and counts[1]["clustered"] == counts[1]["new_clusters"] == 0
+    assert {r["cause"] for r in e.expired().collect()} == {"window"}
+    assert sum(r["n"] for r in e.clusters().filter("status = 'active'").collect()) == 6
+    e.process(batch(spark, 12, 5), 3)
+    assert e.batches().filter("batch_id = 3").first()["late"] == 5 and e.members().count() == 18
+    again = engine(spark, tmp_path / "c")  # a new driver goes on from the tables
+    again.process(shift(40, 1.6), 4)
+    assert again.batches().filter("batch_id = 4").first()["total"] == 12 + 14 + 6 + 5 + 6
+
+
+def test_a_held_back_cluster_alerts_when_the_cooldown_ends(spark, tmp_path):
+    e = engine(spark, tmp_path / "d")
+    e.duplicate_similarity, e.cooldown_hours, e.window_hours, e.expiry_hours = -1.0, 2, 1000, 1000
+    one = lambda theme, first, hour: spark.createDataFrame(
+        [(str(first + i), THEMES[theme], START + timedelta(hours=hour, minutes=i)) for i in range(6)], "id string, text string, created_at timestamp"
+    )
+    e.process(one(0, 100, 0), 0)
+    e.process(one(1, 200, 1), 1)  # alike enough to the first alert: held back
+    assert e.alerts().count() == 1 and e._read("pending", 1).count() == 1
+    e.process(one(2, 300, 5), 2)  # the cooldown is over: one of the two is sent, the other waits
+    e.process(one(2, 300, 5), 2)
+    assert [r["version"] for r in e._log("alerts").orderBy("version").collect()] == [0, 2]
+    sheets = e.outbox().collect()
+    assert sorted(r["alert_id"] for r in sheets) == sorted(r["alert_id"] for r in e.alerts().collect())
+    assert all(len(r["posts"]) == 3 for r in sheets)
+
+
 def test_engine_expires_clusters(spark, tmp_path):
     e = engine(spark, tmp_path / "b")
     e.process(batch(spark, 0, 6), 0)
