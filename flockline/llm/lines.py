@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flockline.llm.names import unused
 from flockline.session import discard, materialize
 
 SPAN = 3
@@ -47,16 +48,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     become empty. Repeated rows of one id are one document; rows without an id stay
     whole. Other columns pass unchanged.
     """
-    starts = repeats(docs).select(F.col("doc_id").alias("dup_id"), F.col("starts").alias("dup_starts"))
-    joined = docs.join(starts, F.col("doc_id").cast("long") == F.col("dup_id"), "left")
+    dup_id, dup_starts = unused(docs, "dup_id"), unused(docs, "dup_starts")
+    starts = repeats(docs).select(F.col("doc_id").alias(dup_id), F.col("starts").alias(dup_starts))
+    # Both sides grow with the table, so they are merged at every size.
+    joined = docs.join(starts.hint("merge"), F.col("doc_id").cast("long") == F.col(dup_id), "left")
     lines = _lines(F.col("text"))
     n = F.coalesce(F.size(lines), F.lit(0))
-    covered = F.flatten(F.transform("dup_starts", lambda s: F.sequence(s, s + (SPAN - 1))))
+    covered = F.flatten(F.transform(dup_starts, lambda s: F.sequence(s, s + (SPAN - 1))))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), covered)
-    text = F.when(F.col("dup_starts").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col(dup_starts).isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
-    removed = F.when(F.col("dup_starts").isNull(), 0).otherwise(F.size(F.array_distinct(covered)))
+    removed = F.when(F.col(dup_starts).isNull(), 0).otherwise(F.size(F.array_distinct(covered)))
     rest = [docs[c] for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
     count = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines")
     return joined.select(*rest, text.alias("text"), count, removed.cast("long").alias("n_removed"))
