@@ -30,29 +30,22 @@ from flockline.session import discard, materialize
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the ranks of byte_bpe_50k.json, which lists the added tokens
 LENGTH, END = 1024, 0
 HASHED, DIMS, BITS = 1024, 4, 10
-_CACHE = 400_000  # pieces of text whose ids a worker remembers
-_PLAIN = re.compile(r"^\s|\s\s|\s$")
 
 _encoders: dict[str, "Encoder"] = {}
 
 
 def added_tokens(vocabulary: str) -> dict[str, int]:
-    """Ids of the tokens that the JSON form beside a rank file adds to it; none without such a file."""
+    """Ids of the tokens that the JSON form beside a rank file adds to it; that file must be there."""
     form = os.path.splitext(vocabulary)[0] + ".json"
-    if not os.path.exists(form):
-        return {}
     with open(form, encoding="utf-8") as file:
         listed = json.load(file)["added_tokens"]
-    if odd := [t["content"] for t in listed if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+    if odd := [t["content"] for t in listed if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
         raise ValueError(f"added tokens that depend on their surroundings: {odd}")
     return {t["content"]: t["id"] for t in listed}
 
 
 class Encoder:
-    """Byte-level BPE with a memory of pieces between single blanks, which tokenise independently.
-
-    Texts are cut at added tokens first, of overlapping ones at the leftmost and longest.
-    """
+    """Byte-level BPE; texts are cut at added tokens first, of overlapping ones at the leftmost and longest."""
 
     def __init__(self, vocabulary: str) -> None:
         import tiktoken
@@ -64,34 +57,16 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         self.size = max([*ranks.values(), *added.values()]) + 1
         self.bpe = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return self.bpe.encode_to_numpy(text, disallowed_special=()).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if any(token in text for token in self.added):
             parts = self.cut.split(text)  # every second one is an added token
-            return b"".join([self.added[x] if k % 2 else self._between(x) for k, x in enumerate(parts)])
-        return self._between(text)
-
-    def _between(self, text: str) -> bytes:
-        if _PLAIN.search(text):  # two adjacent white spaces may belong to one token
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        try:
-            return self._ids(first) + b"".join([known[piece] for piece in rest])
-        except KeyError:
-            for piece in rest:
-                if piece not in known:
-                    if len(known) >= _CACHE:
-                        kept = {p: known[p] for p in rest if p in known}
-                        known.clear()
-                        known.update(kept)
-                    known[piece] = self._ids(" " + piece)
-            return self._ids(first) + b"".join([known[piece] for piece in rest])
+            return b"".join([self.added[x] if k % 2 else self._ids(x) for k, x in enumerate(parts)])
+        return self._ids(text)
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -234,7 +209,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) ->
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    joined = rows.join(places, "row_id").select("doc_id", "doc_tokens", "ids", "place")
+    # Both sides grow with the table, so they are merged at every size.
+    joined = rows.join(places.hint("merge"), "row_id").select("doc_id", "doc_tokens", "ids", "place")
     names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     pieces = materialize(joined.mapInArrow(cut, names), "pieces")
     discard(rows, places)
