@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flockline.llm.names import unused
+
 PROFILE = 300
 MAX_LANGUAGES = 4096  # profiles travel with the tasks: at most 10 MB
 _FLUSH = 2_000_000  # grams a training task holds before it passes their counts on
@@ -160,7 +162,7 @@ def classify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], said, pa.array(score)], names=[f.name for f in out])
 
     rest = [docs[c] for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    chosen = docs.select(F.col("text").cast("string").alias("__text"), *rest)
+    chosen = docs.select(F.col("text").cast("string").alias(unused(docs, "whole_text")), *rest)
     out = [*chosen.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return chosen.mapInArrow(predict, T.StructType(out))
 

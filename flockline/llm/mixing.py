@@ -155,10 +155,13 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling
 
 def repeated(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 7) -> DataFrame:
     """The mixed table itself: each row of ``docs`` as often as the mix takes it, columns unchanged."""
-    placed = _placed(docs, seed)
+    names = docs.columns
+    aside = {c: f"own_{k}_{c}" for k, c in enumerate(names) if c.lower().startswith("mix_")}
+    placed = _placed(docs.withColumnsRenamed(aside), seed)
     planned = _planned(placed, _sized(placed), weights, share, ceiling)
     each = F.explode(F.expr("CASE WHEN mix_copies > 0 THEN sequence(1, mix_copies) END"))
-    return planned.select(*docs.columns, each.alias("mix_copy")).drop("mix_copy")
+    taken = planned.select(*[aside.get(c, c) for c in names], each.alias("mix_copy")).drop("mix_copy")
+    return taken.withColumnsRenamed({own: c for c, own in aside.items()})
 
 
 def mix_sql(docs: str, seed: int = 7) -> str:
