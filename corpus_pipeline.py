@@ -15,7 +15,7 @@ from flockline.llm import langid, lines, minhash, mixing, packing
 from flockline.session import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.1  # below, a text is not in any learned language
+LEAST_SCORE = 0.1  # below, a text has next to no gram in common with any learned language
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later occurrences of three-line windows; ``n_chars`` follows the text."""
-    cleaned = lines.dedup_lines(docs)
+    """Documents without later occurrences of three-line windows; ``n_chars`` follows the text.
+
+    A document of which nothing is left, such as a whole copy, goes.
+    """
+    cleaned = lines.dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
