@@ -307,7 +307,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     members = materialize(banded.join(_buckets(banded), "key"), "members")
     needed = members.select(F.col("doc").alias("doc_id")).distinct()
     whole = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = materialize(whole.join(needed, "doc_id", "left_semi"), "texts", "zstd")
+    # Both sides grow with the table, so they are merged at every size.
+    texts = materialize(whole.join(needed.hint("merge"), "doc_id", "left_semi"), "texts", "zstd")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         ends = [bits.select(F.col("doc").alias(c), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b")]
