@@ -156,7 +156,7 @@ class Codec(dict):
 
 
 def exact_spaces(pattern: str) -> str:
-    """The pattern with white space as the property of that name; ``\\s`` here would hold four controls more."""
+    """The pattern with white space as the property of that name, whatever ``\\s`` stands for in a version of the library."""
     inside = pattern.replace(r"[^\s", r"[^\p{White_Space}")
     return inside.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
