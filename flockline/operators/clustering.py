@@ -218,20 +218,56 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> DataFrame:
-    """Summaries (cluster_id, n, linear_sum, square_sum, radius), every radius <= ``radius``.
+    """Summaries (cluster_id, n, linear_sum, square_sum, radius), every radius <= ``radius``."""
+    summaries, _ = micro_assignment(vectors, radius)
+    radii = feature_centroids(summaries).select("cluster_id", "radius")
+    return summaries.join(radii, "cluster_id")
+
+
+def micro_members(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> DataFrame:
+    """(post_id, label): the micro cluster of every post, named after its earliest post."""
+    return micro_assignment(vectors, radius)[1]
+
+
+def micro_assignment(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(summaries, members) of the micro clusters; ids are unique and vectors of one length.
 
     Buckets of about ``BUCKET_ROWS`` rows, by a hash of the id, are folded into local
-    summaries, so neither the partition count nor a task's share changes the result; the
-    summaries are then grouped around leaders whose spread still fits the bound. The
-    mean has the least spread, so a group's true radius stays within it.
+    summaries, so neither the partition count nor a task's share changes the result. The
+    summaries are then grouped around leaders whose spread still fits the bound, and the
+    groups again, until no centroid lies within the slack of another. The mean has the least
+    spread, so a group's true radius stays within it. A post's way to its cluster is
+    post -> local summary -> owner of each round; only ids travel along it. Rows without a
+    vector are left out; rows without a time are the earliest.
     """
-    rows = vectors.select(
-        F.unix_micros("created_at").alias("ts"), "id", vx.doubles(F.col("embedding")).alias("vec")
-    )
+    limit = radius * radius
+    local, members = _local_summaries(vectors, limit)
+    while True:
+        nodes = materialize(_summary_nodes(local, limit), "summaries")
+        owners = _owners(nodes)
+        if not owners.filter("id <> owner").head(1):
+            break
+        discard(local)
+        local = materialize(_united(nodes, owners), "united")
+        step = owners.select(F.col("id").alias("label"), "owner")
+        longer = materialize(
+            members.join(step, "label").select("post_id", F.col("owner").alias("label")), "members"
+        )
+        discard(members, nodes, owners)
+        members = longer
+    discard(nodes, owners)
+    summaries = local.select(F.col("id").cast("string").alias("cluster_id"), "n", "linear_sum", "square_sum")
+    return summaries, members.select("post_id", F.col("label").cast("string").alias("label"))
+
+
+def _local_summaries(vectors: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """Summaries (id, ts, n, linear_sum, square_sum) of each bucket, and (post_id, label) of its posts."""
+    when = F.coalesce(F.unix_micros("created_at"), F.lit(vo.UNDATED))
+    rows = vectors.select(when.alias("ts"), "id", vx.doubles(F.col("embedding")).alias("vec"))
+    rows = rows.filter(F.size("vec") > 0)
     buckets = max(1, -(-vectors.count() // BUCKET_ROWS))
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     placed = bucketed.repartition("bucket").sortWithinPartitions("bucket", "ts", "id")
-    limit = radius * radius
 
     def fold(batches):
         ids, ts = [], []
@@ -242,6 +278,7 @@ def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> Da
         def local():
             return pd.DataFrame(
                 {
+                    "post_id": None,
                     "id": ids,
                     "ts": ts,
                     "n": n[:used].astype("int64"),
@@ -251,6 +288,7 @@ def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> Da
             )
 
         for pdf in batches:
+            joins = []
             for bucket, when, pid, vec in zip(pdf["bucket"], pdf["ts"], pdf["id"], pdf["vec"]):
                 if bucket != now:
                     if used:
@@ -265,6 +303,7 @@ def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> Da
                     count = n[near] + 1
                     if (sq[near] + s) / count - joined @ joined / count**2 <= limit:
                         sums[near], n[near], sq[near] = joined, count, sq[near] + s
+                        joins.append(ids[near])
                         continue
                 if used == len(n):
                     grow = max(64, used)
@@ -272,38 +311,52 @@ def micro_clusters(vectors: DataFrame, radius: float = K.RADIUS_THRESHOLD) -> Da
                     sums = np.vstack([sums.reshape(-1, len(v)), np.zeros((grow, len(v)))])
                 ids.append(pid)
                 ts.append(when)
+                joins.append(pid)
                 sums[used], n[used], sq[used] = v, 1, s
                 used += 1
+            placed_rows = {"post_id": pdf["id"], "id": joins, "ts": None, "n": None, "linear_sum": None, "square_sum": None}
+            yield pd.DataFrame(placed_rows)
         if used:
             yield local()
 
     kind = vectors.schema["id"].dataType.simpleString()
-    local = materialize(
-        placed.mapInPandas(
-            fold, f"id {kind}, ts bigint, n bigint, linear_sum array<double>, square_sum double"
-        ),
-        "local",
-    )
-    mean = F.transform("linear_sum", lambda x: x / F.col("n"))
+    schema = f"post_id {kind}, id {kind}, ts bigint, n bigint, linear_sum array<double>, square_sum double"
+    both = materialize(placed.mapInPandas(fold, schema), "local")
+    local = materialize(both.filter("n IS NOT NULL").drop("post_id"), "summaries")
+    members = materialize(both.filter("n IS NULL").select("post_id", F.col("id").alias("label")), "members")
+    discard(both)
+    return local, members
+
+
+def _summary_nodes(local: DataFrame, limit: float) -> DataFrame:
+    """Summaries as kernel rows: mean, and how far another mean may lie without passing the bound."""
     spread = F.greatest(
         F.col("square_sum") / F.col("n") - vx.dot(F.col("vec"), F.col("vec")), F.lit(0.0)
     )
-    nodes = materialize(
-        local.withColumn("vec", mean).withColumn("slack", F.greatest(F.lit(limit) - spread, F.lit(0.0))),
-        "summaries",
-    )
+    means = local.withColumn("vec", F.transform("linear_sum", lambda x: x / F.col("n")))
+    return means.withColumn("slack", F.greatest(F.lit(limit) - spread, F.lit(0.0)))
+
+
+def _owners(nodes: DataFrame) -> DataFrame:
+    """(id, owner): the leader that each summary joins, itself if it leads."""
     rule = Rule(slack=True)
     shape = nodes.select("id", "ts", "vec", "slack")
     leaders = materialize(shape.join(first_independent(shape, rule), "id", "left_semi"), "leaders")
-    joined = match_rows(shape, leaders, Rule(slack=True, earlier=True))
-    owned = nodes.join(joined.select("id", "match_id"), "id", "left").join(
-        leaders.select("id", F.lit(True).alias("leads")), "id", "left"
-    )
-    owner = F.when(F.col("leads"), F.col("id")).otherwise(F.col("match_id")).cast("string")
-    parts = owned.select(owner.alias("cluster_id"), "n", "linear_sum", "square_sum")
-    merged = _summed(parts)
-    radii = feature_centroids(merged).select("cluster_id", "radius")
-    return merged.join(radii, "cluster_id")
+    joined = match_rows(shape, leaders, Rule(slack=True, earlier=True)).select("id", "match_id")
+    led = leaders.select("id", F.lit(True).alias("leads"))
+    owner = F.when(F.col("leads"), F.col("id")).otherwise(F.col("match_id"))
+    found = nodes.select("id").join(joined, "id", "left").join(led, "id", "left")
+    owned = materialize(found.select("id", owner.alias("owner")), "owners")
+    discard(leaders)
+    return owned
+
+
+def _united(nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """Sums of the summaries of each owner; the owner is the earliest of them."""
+    parts = nodes.join(owners, "id")
+    sums = _summed(parts.select(F.col("owner").alias("cluster_id"), "n", "linear_sum", "square_sum"))
+    times = parts.groupBy(F.col("owner").alias("cluster_id")).agg(F.min("ts").alias("ts"))
+    return sums.join(times, "cluster_id").withColumnRenamed("cluster_id", "id")
 
 
 def adaptive_radius(n: int) -> float:
@@ -312,11 +365,30 @@ def adaptive_radius(n: int) -> float:
 
 def recluster(members: DataFrame, clusters: DataFrame, vectors: DataFrame) -> DataFrame:
     """Micro clusters of the posts of active clusters, with a radius that shrinks as data grows."""
+    kept, radius = _active_vectors(members, clusters, vectors)
+    return micro_clusters(kept, radius)
+
+
+def post_labels(members: DataFrame, clusters: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(post_id, label): the micro cluster of each post of an active cluster after a full new fit."""
+    kept, radius = _active_vectors(members, clusters, vectors)
+    return micro_members(kept, radius)
+
+
+def _active_vectors(members: DataFrame, clusters: DataFrame, vectors: DataFrame) -> tuple[DataFrame, float]:
     active = members.join(clusters.filter("status = 'active'"), "cluster_id", "left_semi")
     kept = materialize(
         vectors.join(active.select(F.col("post_id").alias("id")), "id", "left_semi"), "active"
     )
-    return micro_clusters(kept, adaptive_radius(kept.count()))
+    return kept, adaptive_radius(kept.count())
+
+
+def cluster_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster_id, label, label_posts): the most frequent label of a cluster's posts, ties to the smaller label."""
+    counts = members.join(labels, "post_id").groupBy("cluster_id", "label").agg(F.count("*").alias("n"))
+    first = F.struct((-F.col("n")).alias("n"), "label")
+    best = counts.groupBy("cluster_id").agg(F.min(first).alias("m"))
+    return best.select("cluster_id", F.col("m.label").alias("label"), (-F.col("m.n")).alias("label_posts"))
 
 
 def member_dedupe(members: DataFrame) -> DataFrame:

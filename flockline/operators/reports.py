@@ -12,18 +12,26 @@ from pyspark.sql import functions as F
 from flockline.functions import constants as K
 from flockline.operators import quality as q
 from flockline.operators.alerts import ranked_words
+from flockline.operators.clustering import cluster_labels
 from flockline.operators.windows import hours_between, running_count
 from flockline.session import materialize
 
 NO_TOPIC = K.NO_TOPIC
 
 
-def cluster_report_base(clusters: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cluster table with coherence, stored so that every report reads it once."""
+def cluster_report_base(
+    clusters: DataFrame, members: DataFrame, vectors: DataFrame, labels: DataFrame | None = None
+) -> DataFrame:
+    """Cluster table with coherence, stored so that every report reads it once.
+
+    With ``labels`` (post_id, label) each cluster also gets the most frequent ``label`` of its posts.
+    """
     scored = q.coherence(members, vectors)
     base = clusters.join(scored, "cluster_id", "left").withColumn(
         "coherence", F.coalesce("coherence", F.lit(1.0))
     )
+    if labels is not None:
+        base = base.join(cluster_labels(members, labels).drop("label_posts"), "cluster_id", "left")
     return materialize(base, "report-base")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockline.functions import vectors as vx
@@ -10,6 +11,8 @@ from flockline.plans import sql as s
 from flockline.plans.tables import DIM, THETA, Tables, big, r6, stamp
 
 MICRO_RADIUS = 0.9
+ECHOES = 3  # copies of a vector in the fixture of near copies
+ECHO_RADIUS = 0.2  # different given vectors lie further apart than twice this
 
 
 def leader_cluster(spark, path):
@@ -77,6 +80,44 @@ def recluster(spark, path):
     return total.select("posts", big(F.col("widest") > radius + 1e-6).alias("too_wide"))
 
 
+def _echoes(t: Tables) -> DataFrame:
+    """Every vector and two echoes of it, a little longer and a second later each."""
+    echo = F.explode(F.sequence(F.lit(0), F.lit(ECHOES - 1))).alias("echo")
+    rows = t.vectors.select("*", echo)
+    return rows.select(
+        (F.col("id") * 10 + F.col("echo")).alias("id"),
+        F.transform("embedding", lambda x: x * (1 + F.col("echo") * 0.05)).alias("embedding"),
+        F.timestamp_micros(F.unix_micros("created_at") + F.col("echo") * 1_000_000).alias("created_at"),
+        F.concat(F.lit("c"), "label", F.lit("-"), "event_type").alias("cluster_id"),
+    )
+
+
+def _echo_labels(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Members of the given clusters with echoes, and their labels after a new fit of the active clusters."""
+    rows = _echoes(t)
+    members = rows.select("cluster_id", F.col("id").alias("post_id"))
+    return members, cl.post_labels(members, t.clusters, rows)
+
+
+def micro_members(spark, path):
+    """The micro cluster of each post: an echo shares that of its original and of nothing else."""
+    found = cl.micro_members(_echoes(Tables(spark, path)), ECHO_RADIUS)
+    sizes = found.groupBy("label").agg(F.count("*").alias("n"))
+    return found.join(sizes, "label").select("post_id", "label", "n")
+
+
+def post_labels(spark, path):
+    """Labels of the posts of active clusters after a new fit."""
+    return _echo_labels(Tables(spark, path))[1]
+
+
+def cluster_labels(spark, path):
+    """The report base with the label of each cluster."""
+    t = Tables(spark, path)
+    members, labels = _echo_labels(t)
+    return cl.cluster_labels(members, labels)
+
+
 def cluster_table(spark, path):
     return Tables(spark, path).clusters.select(
         "cluster_id",
@@ -109,7 +150,7 @@ def member_dedupe(spark, path):
 
 QUERIES = {f.__name__: f for f in (
     leader_cluster, refine_clusters, assign_incremental, batch_outcomes, outcome_counts, cluster_features,
-    micro_clusters, recluster, cluster_table, cluster_posts, member_dedupe,
+    micro_clusters, recluster, micro_members, post_labels, cluster_labels, cluster_table, cluster_posts, member_dedupe,
 )}
 
 # Views arrive in order: compare with the stored centroids and the earlier new leaders of the batch.
@@ -133,6 +174,9 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, o DESC,
 asg AS MATERIALIZED (SELECT c.cluster_id, b.id AS post_id, c.s, c.o = -2 AS leads FROM chosen c JOIN bat b USING (k) WHERE r = 1),
 total AS (SELECT cluster_id, count(*) AS n FROM (SELECT cluster_id FROM old UNION ALL SELECT cluster_id FROM asg) GROUP BY 1)"""
 
+_ECHOES = f"""echoes AS (SELECT post_id * 10 + e.k AS id, post_id * 10 AS origin, cluster_id
+  FROM mem, generate_series(0,{ECHOES - 1}) e(k))"""
+
 ORACLES = {
     "leader_cluster": s.query(
         s.SEQ,
@@ -168,6 +212,20 @@ ORACLES = {
         s.CLU,
         "SELECT count(*) AS posts, 0::BIGINT AS too_wide FROM mem WHERE cluster_id IN (SELECT cluster_id FROM clusters WHERE status = 'active')",
     ),
+    "micro_members": s.query(
+        [s.VEC, s.MEM, _ECHOES],
+        f"SELECT id AS post_id, origin::VARCHAR AS label, {ECHOES}::BIGINT AS n FROM echoes",
+    ),
+    "post_labels": s.query(
+        [*s.CLU, _ECHOES],
+        "SELECT id AS post_id, origin::VARCHAR AS label FROM echoes JOIN clusters USING (cluster_id) WHERE status = 'active'",
+    ),
+    "cluster_labels": s.query(
+        [*s.CLU, _ECHOES],
+        "SELECT cluster_id, label, n AS label_posts FROM (SELECT cluster_id, origin::VARCHAR AS label, count(*) AS n, "
+        "row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, origin::VARCHAR) AS r "
+        "FROM echoes JOIN clusters USING (cluster_id) WHERE status = 'active' GROUP BY 1, 2) WHERE r = 1",
+    ),
     "cluster_table": s.query(
         s.CLU,
         f"SELECT cluster_id, size, {s.stamp('created_at')} AS created_at, {s.stamp('last_post_at')} AS last_post_at, topic, "

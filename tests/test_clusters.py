@@ -207,3 +207,39 @@ def test_principal_components_have_a_fixed_direction(spark):
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(2)])
     assert np.allclose([got[i][0] for i in range(60)], points @ axes)
     assert got[0][1] == "c" and got[1][1] == "Unknown"
+
+
+def test_micro_members_name_every_post(spark):
+    """Sums by label equal the summaries, whether one bucket folds the posts or many; near copies share a label."""
+    rows = bursts(seed=8, n=200, noise=0.05)
+    table = vectors(spark, rows).unionByName(vectors(spark, rows[:1]).select(
+        F.lit(999).cast("bigint").alias("id"), F.lit(None).cast("timestamp").alias("created_at"), "embedding"))
+    for bucket_rows in (8192, 40):
+        cl.BUCKET_ROWS, before = bucket_rows, cl.BUCKET_ROWS
+        try:
+            summaries, members = cl.micro_assignment(table, 0.4)
+        finally:
+            cl.BUCKET_ROWS = before
+        label = {r["post_id"]: r["label"] for r in members.collect()}
+        assert set(label) == {*range(200), 999} and label[0] == label[999] == "999"
+        every = {**dict(enumerate(rows)), 999: rows[0]}
+        found = {r["cluster_id"]: r for r in summaries.collect()}
+        assert set(found) == set(label.values()) and len(found) <= 20
+        means, slack = [], []
+        for name, s in found.items():
+            own = np.array([every[p] for p in label if label[p] == name])
+            assert s["n"] == len(own) and s["linear_sum"] == pytest.approx(list(own.sum(0)), abs=1e-9)
+            spread = (own**2).sum() / len(own) - (own.mean(0) ** 2).sum()
+            assert spread <= 0.16 + 1e-9
+            means.append(own.mean(0))
+            slack.append(0.16 - spread)
+        for i in range(len(means)):
+            for j in range(i):
+                assert ((means[i] - means[j]) ** 2).sum() > min(slack[i], slack[j]) - 1e-9
+
+
+def test_labels_of_clusters(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5), ("c", 6)], "cluster_id string, post_id bigint")
+    labels = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y"), (4, "z"), (5, "w")], "post_id bigint, label string")
+    got = {tuple(r) for r in cl.cluster_labels(members, labels).collect()}
+    assert got == {("a", "y", 2), ("b", "w", 1)}
