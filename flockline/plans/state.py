@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockline import schemas
 from flockline.operators import alerts as al
+from flockline.operators import reports as rp
 from flockline.operators import text as to
 from flockline.operators import windows as wi
 from flockline.plans import sql as s
-from flockline.plans.tables import EXPIRY_HOURS, Tables, big, stamp
+from flockline.plans.tables import EXPIRY_HOURS, THETA, Tables, big, stamp
 from flockline.session import scratch_path
 from flockline.sources import posts as ps
 from flockline.sources import state as st
@@ -108,6 +112,33 @@ def restore_latest(spark, path):
     return found.select("cluster_id", "post_id", stamp("joined_at").alias("joined_at"))
 
 
+def restore_state(spark, path):
+    """The six tables of the newest complete snapshot: an older one and a half-written one lie beside it."""
+    t = Tables(spark, path)
+    out = scratch_path(spark, "whole")
+    statistics = rp.engine_stats(t.base, t.vectors)
+    settings = {"similarity_threshold": THETA, "expiry_hours": EXPIRY_HOURS}
+    whole = st.engine_state(t.clusters, t.members, t.posts, t.vectors, statistics, **settings)
+    st.snapshot_state({"members": t.members.limit(1)}, out, 1)
+    st.snapshot_state(whole, out, 2)
+    t.members.limit(2).write.parquet(f"{out}/members/snapshot_ts=3")
+    found = st.restore_state(spark, out)
+    checks = {
+        "clusters": F.sum("size"),
+        "members": F.sum("post_id"),
+        "posts": F.sum(F.length("text")),
+        "vectors": F.sum(F.floor(F.element_at("embedding", 1).cast("double") * 1000)),
+        "statistics": F.sum("vectors_stored"),
+        "parameters": F.sum(F.floor(F.col("value").cast("double") * 1000)),
+    }
+    parts = [
+        found[name].agg(big(F.count("*")).alias("n"), big(value).alias("checked")).withColumn("name", F.lit(name))
+        for name, value in checks.items()
+    ]
+    rows = st.snapshot_manifest(spark, out).select("name", "rows")
+    return reduce(DataFrame.unionByName, parts).join(rows, "name")
+
+
 def purge_expired_posts(spark, path):
     t = Tables(spark, path)
     gone = t.clusters.filter(wi.is_expired(t.as_of, EXPIRY_HOURS))
@@ -144,7 +175,7 @@ def save_load_minimal(spark, path):
 
 
 QUERIES = {f.__name__: f for f in (
-    read_posts, write_posts, ingest_posts, upsert_posts, load_state, snapshot_state, restore_latest,
+    read_posts, write_posts, ingest_posts, upsert_posts, load_state, snapshot_state, restore_latest, restore_state,
     purge_expired_posts, append_alerts, alert_sink, save_load_minimal,
 )}
 
@@ -175,6 +206,15 @@ ORACLES = {
     "restore_latest": s.query(
         [s.VEC, s.MEM], f"SELECT cluster_id, post_id, {s.stamp('joined_at')} AS joined_at FROM mem"
     ),
+    "restore_state": s.query(
+        [s.POSTS, *s.CLU],
+        "SELECT *, n AS rows FROM (SELECT 'clusters' AS name, count(*) AS n, sum(size)::BIGINT AS checked FROM clusters "
+        "UNION ALL SELECT 'members', count(*), sum(post_id)::BIGINT FROM mem "
+        "UNION ALL SELECT 'posts', count(*), sum(length(text))::BIGINT FROM posts "
+        "UNION ALL SELECT 'vectors', count(*), sum(floor(embedding[1]::DOUBLE * 1000))::BIGINT FROM embeddings JOIN events ON event_id = vec_id "
+        "UNION ALL SELECT 'statistics', 1, count(*) FROM vec "
+        f"UNION ALL SELECT 'parameters', 2, {int(THETA * 1000 + EXPIRY_HOURS * 1000)})",
+    ),
     "purge_expired_posts": s.query(
         [s.POSTS, *s.CLU],
         "SELECT id, text FROM posts WHERE id NOT IN (SELECT post_id FROM mem JOIN clusters USING (cluster_id) WHERE status = 'expired')",

@@ -127,3 +127,31 @@ def test_batches_are_walked_or_selected_alike(spark):
         members, _ = clustering.assign_incremental(features, df.filter("id >= 50"), 0.8, fold_rows=fold_rows)
         results.append(sorted((r.post_id, r.cluster_id, r.similarity, r.leads) for r in members.collect()))
     assert results[0] == results[1] and 0 < sum(r[3] for r in results[0]) < 70
+
+
+def test_snapshot_counts_by_its_manifest(spark, tmp_path):
+    out = str(tmp_path / "state")
+    assert state.latest_snapshot(spark, out) is None
+    with pytest.raises(ValueError):
+        state.restore_state(spark, out)
+    rows, empty = spark.range(5), spark.createDataFrame([], "a string, b array<double>")
+    state.snapshot_state({"rows": rows, "empty": empty}, out, 1)
+    rows.limit(2).write.parquet(f"{out}/rows/snapshot_ts=2")  # broke off before its manifest
+    found = state.restore_state(spark, out)
+    assert set(found) == {"rows", "empty"} and found["rows"].count() == 5
+    assert found["empty"].schema == empty.schema and found["empty"].count() == 0
+    state.snapshot_state({"rows": rows.limit(3)}, out, 2)  # the retry
+    state.snapshot_state({"rows": rows.limit(4)}, out, 2)
+    assert state.latest_snapshot(spark, out) == 2
+    assert state.restore_latest(spark, out, "rows").count() == 4
+    assert state.restore_state(spark, out, 1)["rows"].count() == 5
+    with pytest.raises(ValueError):
+        state.restore_state(spark, out, 9)
+
+
+def test_parameters_travel_with_a_snapshot(spark, tmp_path):
+    one = spark.range(1)
+    tables = state.engine_state(one, one, one, one, one, threshold=0.7, names=["a"], note=None)
+    state.snapshot_state(tables, str(tmp_path / "whole"), 7)
+    found = state.restore_state(spark, str(tmp_path / "whole"))
+    assert len(found) == 6 and state.state_parameters(found) == {"threshold": 0.7, "names": ["a"], "note": None}
