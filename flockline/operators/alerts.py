@@ -163,7 +163,12 @@ def dedupe_alerts(
     rows = _alert_nodes(drafts)
     if history is not None and not history.isEmpty():
         rows = materialize(rows, "drafts")
-        past = materialize(_alert_nodes(history), "history")
+        oldest = rows.agg(F.min("ts")).head()[0]
+        age = int(cooldown_hours * _HOUR)
+        past = _alert_nodes(history)
+        if oldest is not None:  # what left the cooldown before the first draft suppresses nothing
+            past = past.filter(F.col("ts") >= max(oldest - age, UNDATED))
+        past = materialize(past, "history")
         before = _conflict(similarity, cooldown_hours, earlier=False)
         hits = match_rows(rows, past, before, **blocks).select("id").distinct()
         rows = rows.join(hits, "id", "left_anti")

@@ -26,6 +26,7 @@ from flockline.session import materialize
 BLOCK_BYTES = 32 << 20
 PROBES_PER_TASK = 262_144
 _TILE = 2048
+_PLANES_SEED = 20240
 
 
 @dataclass(frozen=True)
@@ -303,6 +304,60 @@ def _chunked(home: DataFrame, probe: DataFrame, rule: Rule, rows: int, schema) -
     return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _tiled(home: DataFrame, probe: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Cells cut into time tiles of ``max_age``: a probe meets its own tile and the one before.
+
+    Applies to rules that look back a bounded time; others keep their cells whole.
+    """
+    if not (rule.earlier and rule.max_age):
+        return home, probe
+    own = F.expr(f"(ts - pmod(ts, {rule.max_age}L)) div {rule.max_age}L")
+    cell = F.concat(F.col("cell").cast("string"), F.lit("|"), F.col("__tile").cast("string"))
+    both = F.explode(F.array(own - 1, own))
+    return (
+        home.withColumn("__tile", own).withColumn("cell", cell).drop("__tile"),
+        probe.withColumn("__tile", both).withColumn("cell", cell).drop("__tile"),
+    )
+
+
+def sign_bands(theta: float, bits: int, recall: float) -> int:
+    """How many keys of ``bits`` signs a row needs, so that a pair at the bound shares one with chance ``recall``."""
+    agree = (1.0 - np.arccos(np.clip(theta, -1.0, 1.0)) / np.pi) ** bits
+    return 1 if agree >= 1 else max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-agree))))
+
+
+def sign_cells(df: DataFrame, dim: int, bands: int, bits: int) -> DataFrame:
+    """Every row once per band, with ``cell`` from the signs of its products with fixed random planes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = np.random.default_rng(_PLANES_SEED).standard_normal((dim, bands * bits))
+        weights = 1 << np.arange(bits, dtype="int64")
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf["vec"].to_numpy()).astype("float64")
+                keys = ((v @ planes) >= 0).reshape(len(v), bands, bits) @ weights
+                yield pdf.assign(cells=list(keys + (np.arange(bands, dtype="int64") << bits)))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
+    return df.mapInPandas(run, schema).withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def match_candidates(
+    rows: DataFrame, rule: Rule, bits: int, recall: float, block_rows: int | None = None
+) -> DataFrame:
+    """Matches within ``rows`` among pairs that share a sign key; every returned pair is compared exactly.
+
+    The bands of :func:`sign_bands` find a pair at the bound with chance ``recall``, a closer one
+    more surely. Rows are copied once per band; a key with many rows is cut into chunks.
+    """
+    schema, plain = _result_schema(rows, rows), _columns(rows, rule)
+    dim = _dim(plain)
+    size = block_rows or max(1024, BLOCK_BYTES // (8 * max(1, dim)))
+    cells = materialize(sign_cells(plain, dim, sign_bands(rule.theta, bits, recall), bits), "signs")
+    found = _chunked(cells, cells, rule, size, schema)
+    return found.dropDuplicates(["id", "match_id"]) if rule.keep == "all" else _best_of(found, rule)
+
+
 def _distances(df: DataFrame, pivots: np.ndarray, fn, extra: list[T.StructField]) -> DataFrame:
     schema = T.StructType(df.schema.fields + extra)
     squares = (pivots**2).sum(1)
@@ -397,17 +452,11 @@ def match_rows(
             else rule.reach
         )
         cells, probes = _metric_cells(probe, home, near, n, rows, reach)
+        cells, probes = _tiled(cells, probes, near)
         parts.append(_chunked(cells, materialize(probes, "probes"), near, rows, schema))
     if rule.tag:
         same = Rule(**{**rule.__dict__, "theta": None})
-        parts.append(
-            _chunked(
-                home.withColumn("cell", F.col("tag")),
-                probe.withColumn("cell", F.col("tag")),
-                same,
-                rows,
-                schema,
-            )
-        )
+        homes, probes = _tiled(home.withColumn("cell", F.col("tag")), probe.withColumn("cell", F.col("tag")), same)
+        parts.append(_chunked(homes, probes, same, rows, schema))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
     return _best_of(found, rule)

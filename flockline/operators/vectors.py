@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flockline.functions import constants as K
 from flockline.functions import vectors as vx
-from flockline.operators.kernel import Rule, match_rows
+from flockline.operators.kernel import Rule, match_candidates, match_rows
 from flockline.session import materialize
 
 MAX_LITERAL_TOPICS = 256
@@ -141,14 +141,36 @@ def similar_post_join(
     posts, and the earliest post represents its copies, so a large group of
     copies adds one row instead of all its pairs.
     """
-    found = nodes(vectors)
-    folded = materialize(
+    folded = _folded_copies(nodes(vectors))
+    pairs = match_rows(folded, folded, Rule(theta=threshold, keep="all", earlier=True), **blocks)
+    return _weighted_pairs(pairs, folded)
+
+
+def similar_post_candidates(
+    vectors: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD, bits: int = 12, recall: float = 0.95, **blocks
+) -> DataFrame:
+    """The rows of :func:`similar_post_join` that locality-sensitive hashing finds: all are right, some may lack.
+
+    Only vectors that share one of several keys of ``bits`` random signs are compared; the number
+    of keys follows from the threshold and the ``recall`` wanted for pairs at it. More bits make
+    smaller groups and more copies of each row: worth it for high thresholds and large tables.
+    Vectors that are null or zero match nothing.
+    """
+    folded = _folded_copies(nodes(drop_zero_vectors(vectors)))
+    pairs = match_candidates(folded, Rule(theta=threshold, keep="all", earlier=True), bits, recall, **blocks)
+    return _weighted_pairs(pairs, folded)
+
+
+def _folded_copies(found: DataFrame) -> DataFrame:
+    return materialize(
         found.groupBy("vec")
         .agg(F.min(F.struct("ts", "id")).alias("first"), F.count("*").alias("posts"))
         .select("first.id", F.lit(0).cast("bigint").alias("ts"), "vec", "posts"),
         "folded",
     )
-    pairs = match_rows(folded, folded, Rule(theta=threshold, keep="all", earlier=True), **blocks)
+
+
+def _weighted_pairs(pairs: DataFrame, folded: DataFrame) -> DataFrame:
     sizes = folded.select("id", "posts")
     return (
         pairs.select(F.col("match_id").alias("left_id"), F.col("id").alias("right_id"), "similarity")

@@ -8,7 +8,8 @@ from flockline.functions import vectors as vx
 from flockline.operators import text as to
 from flockline.operators import vectors as vo
 from flockline.plans import sql as s
-from flockline.plans.tables import DIM, THETA, Tables, r6
+from flockline.plans.tables import DIM, THETA, Tables, big, r6
+from flockline.session import materialize
 
 
 def _entries(df, key: str, col: str):
@@ -104,9 +105,26 @@ def similar_post_join(spark, path):
     )
 
 
+def similar_post_candidates(spark, path):
+    """Recall of the hashed search for the posts whose id is divisible by 50, and pairs that are none."""
+    t = Tables(spark, path)
+    pair = [F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")]
+    exact = materialize(vo.similar_post_join(t.vectors, THETA).select(*pair), "exact")
+    found = materialize(vo.similar_post_candidates(t.vectors, THETA, bits=4, recall=0.99).select(*pair), "found")
+    asked = (F.col("a") % 50 == 0) | (F.col("b") % 50 == 0)
+    hits = exact.join(found, ["a", "b"], "left_semi").filter(asked)
+    wrong = found.join(exact, ["a", "b"], "left_anti")
+    return exact.filter(asked).agg(F.count("*").alias("links")).select(
+        "links",
+        big(hits.agg(F.count("*")).scalar() >= 0.9 * F.col("links")).alias("recall_reached"),
+        wrong.agg(F.count("*")).scalar().alias("wrong"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     embed_posts, l2_normalize, drop_zero_vectors, cosine_pairs, topic_vectors, topic_match, nearest_clusters,
     nearest_cluster, centroids, running_centroid, centroid_preview, vector_pca, similar_post_join,
+    similar_post_candidates,
 )}
 
 _EMB = s.embedded("prepared", "emb", "id", "cleaned_text")
@@ -157,6 +175,11 @@ ORACLES = {
     "centroids": s.query([s.VEC, s.MEM, s.CEN], _unrolled("cen", "cluster_id", "c", DIM)),
     "running_centroid": s.query([s.VEC, s.MEM, _RUN], _unrolled("fin", "cluster_id", "c", DIM)),
     "centroid_preview": s.query([s.VEC, s.MEM, s.CEN], _unrolled("cen", "cluster_id", "c", 5)),
+    "similar_post_candidates": s.query(
+        [s.VEC],
+        "SELECT count(*) AS links, 1::BIGINT AS recall_reached, 0::BIGINT AS wrong FROM vec a JOIN vec b ON a.id < b.id "
+        f"WHERE round(list_dot_product(a.u, b.u), 6) >= {THETA} AND (a.id % 50 = 0 OR b.id % 50 = 0)",
+    ),
     "similar_post_join": s.query(
         [s.VEC],
         "SELECT a.id AS left_id, b.id AS right_id, "

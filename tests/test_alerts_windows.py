@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flockline.operators import alerts as al
+from flockline.operators import kernel
 from flockline.operators import windows as wi
 from flockline.sources import posts as ps
 from flockline.sources import state as st
@@ -132,3 +133,23 @@ def test_upsert_keeps_newest(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, v string, seq int")
     new = spark.createDataFrame([(2, "c", 3), (3, "d", 4)], "id int, v string, seq int")
     assert {tuple(r) for r in st.upsert(old, new).collect()} == {(1, "a", 1), (2, "c", 3), (3, "d", 4)}
+
+
+def test_a_probe_meets_two_tiles_of_a_long_history(spark):
+    """200 alerts of one fingerprint, one an hour: with a cooldown of ten hours a row meets 20 at most, not 200."""
+    rows = [(f"a{i:03d}", "hot", [1.0, 0.0], at(i) if i else None) for i in range(200)]
+    nodes = al._alert_nodes(spark.createDataFrame(rows, ALERT)).withColumn("cell", F.col("tag"))
+    rule = al._conflict(0.85, 10)
+    homes, probes = kernel._tiled(nodes, nodes, rule)
+    met = probes.select(F.col("id").alias("p"), F.col("ts").alias("pt"), "cell").join(homes, "cell")
+    assert met.groupBy("p").count().agg(F.max("count")).head()[0] <= 20
+    right = F.col("pt").between(F.col("ts"), F.col("ts") + rule.max_age)
+    assert met.filter(right).count() == sum(min(i, 11) for i in range(1, 200)) + 1  # each pair once, the undated row meets itself
+    got = kept(al.dedupe_alerts(spark.createDataFrame(rows, ALERT), cooldown_hours=10, broadcast_rows=0, block_rows=16, walk_rows=0))
+    assert got == {"a000"} | {f"a{i:03d}" for i in range(1, 200, 11)}
+
+
+def test_history_is_read_back_to_the_first_draft_only(spark):
+    drafts = spark.createDataFrame([("d", "f", [1.0, 0.0], at(100)), ("e", "g", [0.0, 1.0], at(90))], ALERT)
+    history = spark.createDataFrame([("p", "g", [1.0, 0.0], at(66)), ("q", "f", [1.0, 0.0], at(60)), ("r", "f", [1.0, 0.0], None)], ALERT)
+    assert kept(al.dedupe_alerts(drafts, history)) == {"d"}

@@ -243,3 +243,18 @@ def test_labels_of_clusters(spark):
     labels = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y"), (4, "z"), (5, "w")], "post_id bigint, label string")
     got = {tuple(r) for r in cl.cluster_labels(members, labels).collect()}
     assert got == {("a", "y", 2), ("b", "w", 1)}
+
+
+@pytest.mark.parametrize("block_rows", [None, 16])
+def test_hashed_pairs_are_right_and_nearly_all(spark, block_rows):
+    """Recall against all pairs, for the rows whose id is divisible by 50 and for all."""
+    rows = bursts(seed=12, n=600, groups=40, dim=16, noise=0.06)
+    table = vectors(spark, rows).unionByName(spark.createDataFrame([(900, START, [0.0] * 16), (901, START, None)], SCHEMA))
+    exact = {(r["left_id"], r["right_id"]): r for r in vo.similar_post_join(vectors(spark, rows), 0.9).collect()}
+    found = vo.similar_post_candidates(table, 0.9, bits=8, block_rows=block_rows).collect()
+    assert len(found) == len({(r["left_id"], r["right_id"]) for r in found})
+    assert all(exact[r["left_id"], r["right_id"]] == r for r in found)
+    assert len(found) >= 0.95 * len(exact) > 100
+    asked = [p for p in exact if p[0] % 50 == 0 or p[1] % 50 == 0]
+    got = {(r["left_id"], r["right_id"]) for r in found}
+    assert sum(p in got for p in asked) >= 0.9 * len(asked)
