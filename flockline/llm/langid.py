@@ -25,6 +25,9 @@ MAX_LANGUAGES = 4096  # profiles travel with the tasks: at most 10 MB
 _FLUSH = 2_000_000  # grams a training task holds before it passes their counts on
 _BLANK = np.uint64(32)
 UNKNOWN = "und"
+LONGEST_CLASS = 10  # texts of 1,024 characters and more: their profiles are full
+STRAY = 0.001  # share of the labelled documents that may be in no language
+MARGIN = 0.75
 
 _letters: list[np.ndarray] = []
 
@@ -180,3 +183,35 @@ def identify(docs: DataFrame) -> DataFrame:
     model = learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
     rest = [docs[c] for c in docs.columns if c.lower() != "held_out"]
     return classify(docs.select(*rest, held_out(F.col("doc_id")).alias("held_out")), model)
+
+
+def _length_class(text: str = "text") -> Column:
+    """0 to ``LONGEST_CLASS``: the power of two that a text's length reaches."""
+    return F.least(F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))), F.lit(LONGEST_CLASS)).cast("int")
+
+
+def least_scores(scored: DataFrame) -> DataFrame:
+    """``(length_class, least)``: what a text of some length must score to be in a learned language.
+
+    The scores of the documents that were learned from, of the same length or shorter (short texts
+    score lower), set it: their lowest but for one in ``1 / STRAY``, less a margin. One row for each
+    class; a class without any such document has none.
+    """
+    learned = scored.filter(f"NOT held_out AND lang IS NOT NULL AND lang_pred <> '{UNKNOWN}'")
+    classes = F.explode(F.sequence(_length_class(), F.lit(LONGEST_CLASS))).alias("length_class")
+    rows = learned.select(classes, "score")
+    low = F.percentile_approx("score", F.lit(STRAY), F.lit(int(10 / STRAY)))
+    return rows.groupBy("length_class").agg((low * MARGIN).alias("least"))
+
+
+def known(scored: DataFrame) -> DataFrame:
+    """The rows of :func:`identify` whose text is in a learned language; ``scored`` is read twice and should be stored.
+
+    A text without a letter goes, and so does one below the least score of its length. Where no
+    document was learned from, or none as short, a text with a letter stays. Columns stay as they are.
+    """
+    bounds = {r.length_class: r.least for r in least_scores(scored).collect()}  # one number for each class
+    least = F.lit(0.0)
+    for size, bound in sorted(bounds.items()):
+        least = F.when(_length_class() == size, bound).otherwise(least)
+    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
