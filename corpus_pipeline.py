@@ -15,13 +15,11 @@ from flockline.llm import langid, lines, minhash, mixing, packing
 from flockline.session import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.1  # below, a text has next to no gram in common with any learned language
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without a letter or unlike every profile go."""
-    found = langid.identify(docs).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(*COLUMNS)
+    """Documents in a known language; those without a letter go, and those that score below all learned from."""
+    return langid.known(materialize(langid.identify(docs), "scored", "zstd")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
