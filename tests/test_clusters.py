@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flockline.operators import clustering as cl
 from flockline.operators import leaders as ld
 from flockline.operators import quality as q
+from flockline.operators import reports as rp
 from flockline.operators import vectors as vo
 
 START = datetime(2024, 1, 1)
@@ -258,3 +259,13 @@ def test_hashed_pairs_are_right_and_nearly_all(spark, block_rows):
     asked = [p for p in exact if p[0] % 50 == 0 or p[1] % 50 == 0]
     got = {(r["left_id"], r["right_id"]) for r in found}
     assert sum(p in got for p in asked) >= 0.9 * len(asked)
+
+
+def test_report_base_carries_labels(spark):
+    table = vectors(spark, bursts(n=8))
+    members = members_of(table, 2)
+    clusters = members.select("cluster_id").distinct()
+    labels = members.select("post_id", F.concat(F.lit("of "), "cluster_id").alias("label"))
+    got = rp.cluster_report_base(clusters, members, table, labels.filter("label = 'of c0'"))
+    assert {(r["cluster_id"], r["label"]) for r in got.collect()} == {("c0", "of c0"), ("c1", None)}
+    assert [tuple(r) for r in rp.label_distribution(got).collect()] == [("of c0", 1)]
