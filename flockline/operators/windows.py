@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockline.functions import constants as K
-from flockline.session import materialize
+from flockline.session import discard, materialize
 
 GRID_ROWS = 100_000  # rows of five numbers in a grid that is broadcast
 SLIDE_HOURS = K.WINDOW_SIZE_HOURS - K.WINDOW_OVERLAP_HOURS
@@ -58,63 +58,116 @@ def window_assign(posts: DataFrame, slide_hours: int = SLIDE_HOURS, col: str = "
     )
 
 
-def anchored_starts(posts: DataFrame, slide_hours: float = SLIDE_HOURS, col: str = "created_at") -> list[int]:
-    """Start times (microseconds) of lazily opened windows.
+def _successors(times: DataFrame, width: int) -> DataFrame:
+    """(ts, nxt): the first time at least ``width`` after ``ts``; times without one are left out.
 
-    The next window starts at the first post at least ``slide_hours`` after the
-    last start, so starts are found one after the other. Times are stored
-    sorted, so each step reads only the files around its bound, and the number
-    of steps is the covered time over the slide, not the number of posts.
+    Times and bounds are range-partitioned together, searched inside each range, and what a
+    range does not hold is the first time of a later one.
+    """
+    both = times.select(F.col("ts").alias("at"), F.lit(None).cast("bigint").alias("ts")).unionByName(
+        times.select((F.col("ts") + width).alias("at"), "ts")
+    )
+    placed = materialize(both.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "bounds")
+    time = F.when(F.col("ts").isNull(), F.col("at"))
+    here = Window.partitionBy("part").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = placed.groupBy("part").agg(F.min(time).alias("head")).select("part", F.min("head").over(after).alias("later"))
+    found = (
+        placed.withColumn("found", F.min(time).over(here))
+        .filter("ts IS NOT NULL")
+        .join(F.broadcast(later), "part")  # one row per range
+        .select("ts", F.coalesce("found", "later").alias("nxt"))
+        .filter("nxt IS NOT NULL")
+    )
+    pairs = materialize(found, "steps")
+    discard(placed)
+    return pairs
+
+
+def _reached(steps: DataFrame, first: int) -> DataFrame:
+    """The times that ``steps`` reach from ``first``, by pointer doubling.
+
+    Round k keeps jumps of 2^k steps, and only at times that such jumps end at: paths that
+    meet stay together, so tables shrink from round to round. The way back adds, for each
+    power of two, where its jumps lead from what is reached so far.
+    """
+    levels = []
+    while steps.filter(F.col("ts") == first).head() is not None:
+        levels.append(steps)
+        onward = steps.select(F.col("ts").alias("nxt"), F.col("nxt").alias("far"))
+        twice = materialize(steps.join(onward, "nxt").select("ts", F.col("far").alias("nxt")), "twice")
+        ends = twice.select(F.col("nxt").alias("ts")).distinct()
+        kept = twice.join(ends, "ts", "left_semi").unionByName(
+            twice.filter(F.col("ts") == first).join(ends, "ts", "left_anti")
+        )
+        steps = materialize(kept, "steps")
+        discard(twice)
+    discard(steps)
+    reached = steps.sparkSession.createDataFrame([(first,)], "ts bigint")
+    for level in reversed(levels):
+        more = level.join(reached, "ts", "left_semi").select(F.col("nxt").alias("ts"))
+        reached = materialize(reached.unionByName(more), "reached")
+        discard(level)
+    return reached
+
+
+def anchored_starts(
+    posts: DataFrame, slide_hours: float = SLIDE_HOURS, col: str = "created_at", walk_rows: int = GRID_ROWS
+) -> DataFrame:
+    """(window_id, ts): start times (microseconds) of lazily opened windows, numbered from 0.
+
+    The next window starts at the first post at least ``slide_hours`` after the last start.
+    Up to ``walk_rows`` distinct times are walked on the driver; of more, every time gets its
+    successor and the starts are reached in twice as many rounds as the number of windows has
+    binary digits. Posts without a time open no window.
     """
     width = int(slide_hours * _HOUR)
+    spark = posts.sparkSession
     times = posts.select(F.unix_micros(col).alias("ts")).filter("ts IS NOT NULL").distinct()
-    times = materialize(times.repartitionByRange("ts").sortWithinPartitions("ts"), "times")
-    starts: list[int] = []
-    found = times.agg(F.min("ts")).head()[0]
-    while found is not None:
-        starts.append(found)
-        bound = found + width
-        near = times.filter((F.col("ts") >= bound) & (F.col("ts") < bound + width))
-        found = near.agg(F.min("ts")).head()[0]
-        if found is None:
-            found = times.filter(F.col("ts") >= bound).agg(F.min("ts")).head()[0]
-    return starts
+    times = materialize(times, "times")
+    few = times.limit(walk_rows + 1).collect()
+    if len(few) <= walk_rows:
+        rows, bound = [], None
+        for (ts,) in sorted(few):
+            if bound is None or ts >= bound:
+                rows.append((len(rows), ts))
+                bound = ts + width
+        found = spark.createDataFrame(rows, "window_id bigint, ts bigint")
+    else:
+        reached = _reached(_successors(times, width), times.agg(F.min("ts")).head()[0])
+        found = running_count(reached, ["ts"]).select((F.col("position") - 1).alias("window_id"), "ts")
+    discard(times)
+    return found
 
 
 def window_assign_anchored(
-    posts: DataFrame, slide_hours: float = SLIDE_HOURS, col: str = "created_at"
+    posts: DataFrame, slide_hours: float = SLIDE_HOURS, col: str = "created_at", walk_rows: int = GRID_ROWS
 ) -> DataFrame:
-    """Put every post in the last lazily opened window at or before it.
+    """Put every post in the last lazily opened window at or before it; posts without a time are left out.
 
-    Starts are a slide apart, so a grid cell of that width holds at most one:
-    the range lookup becomes an equal join on the cell.
+    Starts are a slide apart, so a grid cell of that width holds at most one, and the start of
+    a post's window lies less than a slide before it: in its own cell or the one before. The
+    range lookup becomes an equal join on the cell, whose table has two rows per window,
+    however far apart the windows are.
     """
     width = int(slide_hours * _HOUR)
-    starts = anchored_starts(posts, slide_hours, col)
-    here = {s // width: (i, s) for i, s in enumerate(starts)}
-    last_cell = posts.agg(F.max(F.unix_micros(col))).head()[0]
-    rows, previous = [], (None, None)
-    if starts:
-        for cell in range(starts[0] // width, last_cell // width + 1):
-            current = here.get(cell, (None, None))
-            rows.append((cell, *current, *previous))
-            previous = current if current[1] is not None else previous
-    grid = posts.sparkSession.createDataFrame(
-        rows, "cell bigint, this_id bigint, this_start bigint, last_id bigint, last_start bigint"
+    starts = anchored_starts(posts, slide_hours, col, walk_rows)
+    cell = F.floor(F.col("ts") / width)
+    own = starts.select(cell.alias("cell"), F.struct("window_id", "ts").alias("this"), F.lit(None).alias("last"))
+    next_cell = starts.select((cell + 1).alias("cell"), F.lit(None).alias("this"), F.struct("window_id", "ts").alias("last"))
+    grid = materialize(
+        own.unionByName(next_cell).groupBy("cell").agg(F.max("this").alias("this"), F.max("last").alias("last")), "grid"
     )
-    if len(rows) <= GRID_ROWS:
+    if grid.limit(GRID_ROWS + 1).count() <= GRID_ROWS:
         grid = F.broadcast(grid)
     micros = F.unix_micros(col)
-    in_this = micros >= F.col("this_start")
+    start = F.when(micros >= F.col("this.ts"), F.col("this")).otherwise(F.col("last"))
     return (
         posts.withColumn("cell", F.floor(micros / width))
         .join(grid, "cell")
-        .withColumn("window_id", F.when(in_this, F.col("this_id")).otherwise(F.col("last_id")))
-        .withColumn(
-            "window_start",
-            F.timestamp_micros(F.when(in_this, F.col("this_start")).otherwise(F.col("last_start"))),
-        )
-        .drop("cell", "this_id", "this_start", "last_id", "last_start")
+        .withColumn("window_id", start.getField("window_id"))
+        .withColumn("window_start", F.timestamp_micros(start.getField("ts")))
+        .drop("cell", "this", "last")
     )
 
 

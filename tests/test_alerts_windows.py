@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -74,6 +75,29 @@ def test_anchored_windows_cross_gaps(spark):
     assert [r["window_start"] for r in got.orderBy("id").collect()] == [at(3), at(100), at(100), at(130)]
 
 
+@pytest.mark.parametrize("seed,span", [(1, 40), (2, 900), (3, 5000)])
+def test_anchored_windows_by_doubling(spark, monkeypatch, seed, span):
+    rng = random.Random(seed)
+    hours = [rng.randrange(span * 4) / 4 for _ in range(400)] + [0.0, 0.0, 90_000.0, 18.0]
+    expected, start = {}, None
+    for h in sorted(set(hours)):
+        start = h if start is None or h >= start + 18 else start
+        expected[h] = start
+    order = {s: i for i, s in enumerate(sorted(set(expected.values())))}
+    rows = posts_at(spark, hours).unionByName(spark.createDataFrame([(-1, None)], "id int, created_at timestamp"))
+    rounds, write = [], wi.materialize
+    monkeypatch.setattr(wi, "materialize", lambda df, name: rounds.append(name) or write(df, name))
+    for walk in (0, 1000):
+        got = {r["id"]: (r["window_id"], r["window_start"]) for r in wi.window_assign_anchored(rows, 18, walk_rows=walk).collect()}
+        assert got == {i: (order[expected[h]], at(expected[h])) for i, h in enumerate(hours)}
+    assert rounds.count("twice") == (len(order) - 1).bit_length()
+
+
+def test_anchored_windows_of_nothing(spark):
+    empty = spark.createDataFrame([(1, None)], "id int, created_at timestamp")
+    assert wi.window_assign_anchored(empty, walk_rows=0).count() == 0
+
+
 def test_expiry_is_strict_and_reports_new_only(spark):
     rows = [("a", at(0), "active"), ("b", at(0) - timedelta(seconds=1), "active"), ("c", at(-90), "expired")]
     clusters = spark.createDataFrame(rows, "cluster_id string, last_post_at timestamp, status string")
