@@ -120,6 +120,37 @@ def test_coherence_equals_all_pairs(spark, noise):
     assert got == pytest.approx(brute_coherence(rows), abs=1e-9)
 
 
+@pytest.mark.parametrize("noise", [0.05, 0.6, 3.0])
+def test_coherence_by_cells_equals_all_pairs(spark, noise):
+    rows = bursts(seed=4, groups=2, noise=noise)
+    table = vectors(spark, rows)
+    got = q.coherence(members_of(table), table, block_rows=7, cell_rows=0).collect()
+    assert {r["cluster_id"]: r["coherence"] for r in got} == pytest.approx(brute_coherence(rows), abs=1e-9)
+
+
+@pytest.mark.parametrize("shape", ["cone", "opposite", "ring"])
+def test_coherence_cells_compare_few_pairs(spark, shape):
+    """Posts that are clearly near or clearly opposite are settled by sums of cells."""
+    rng = np.random.default_rng(6)
+    n = 6000
+    if shape == "cone":  # most within 45 degrees of the axis, the others up to 50
+        lean = np.radians(np.where(rng.random(n) < 0.3, rng.uniform(46, 50, n), rng.uniform(0, 35, n)))
+        side = rng.normal(size=(n, 5))
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        rows = np.c_[np.cos(lean), side * np.sin(lean)[:, None]]
+    elif shape == "opposite":
+        rows = np.repeat([[1.0, 0.0, 0.0], [-0.6, 0.8, 0.0], [-0.6, -0.8, 0.1]], n // 3, 0) + rng.normal(size=(n, 3)) / 50
+    else:
+        turn = rng.uniform(0, 2 * np.pi, n)
+        rows = np.c_[np.cos(turn), np.sin(turn)]
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    table = vectors(spark, rows)
+    got = q.coherence_sums(members_of(table, 1), table).head()
+    assert got["total"] / got["pairs"] == pytest.approx(brute_coherence(rows, 1)["c0"], abs=1e-9)
+    share = got["compared"] / (n * (n - 1) / 2)
+    assert share < {"cone": 0.25, "opposite": 0.01, "ring": 0.2}[shape]
+
+
 def test_coherence_edge_cases(spark):
     def one(rows):
         t = vectors(spark, rows)
