@@ -84,6 +84,8 @@ WINDOW_OVERLAP_HOURS = 6
 MIN_COHERENCE = 0.6
 LARGE_CLUSTER_SIZE = 50
 QUALITY_CHECK_INTERVAL = 100
+REFIT_INTERVAL = 1000
+REFIT_POSTS = 100
 BATCH_SIZE = 100
 PROCESSING_INTERVAL_SECONDS = 30
 

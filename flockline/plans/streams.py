@@ -33,6 +33,7 @@ LOOP = {
     "window_hours": 28,
     "slide_hours": 9,
     "quality_every": 100,
+    "refit_every": 250,
 }
 
 
@@ -147,6 +148,21 @@ def stream_quality(spark, path):
     return found.select(big("version").alias("batch"), "processed", "clusters", "low_clusters", r6("average_coherence").alias("average_coherence"))
 
 
+def stream_refits(spark, path):
+    """New fits of the live posts: all get a label, alike ones the same, and no micro cluster is too wide."""
+    engine = _run_engine(spark, path)
+    found = engine.refits()
+    newest = found.agg(F.max("version")).head()[0]
+    labelled = engine.labels().agg(F.countDistinct("post_id").alias("labelled"), F.countDistinct("label").alias("given"))
+    last = found.filter(F.col("version") == newest).crossJoin(F.broadcast(labelled))  # one row each
+    checked = last.select("version", "labelled", (F.col("given") == F.col("labels")).alias("agree"))
+    return found.join(checked, "version", "left").select(
+        big("version").alias("batch"), "processed", "posts", r6("radius").alias("radius"),
+        big(F.col("widest") > F.col("radius") + 1e-6).alias("too_wide"), big(F.col("labels") < F.col("posts")).alias("merged"),
+        "labelled", big("agree").alias("agree"),
+    )
+
+
 def keyed_cooldown(spark, path):
     t = Tables(spark, path)
     out = scratch_path(spark, "drafts")
@@ -175,7 +191,7 @@ def stream_stats(spark, path):
 
 QUERIES = {f.__name__: f for f in (
     stream_posts, stream_prepare, stream_window_counts, stream_assign, stream_expiry, stream_alerts,
-    stream_retract, stream_outbox, stream_batches, stream_quality, keyed_cooldown, stream_dedupe, stream_stats,
+    stream_retract, stream_outbox, stream_batches, stream_quality, stream_refits, keyed_cooldown, stream_dedupe, stream_stats,
 )}
 
 # Post vectors as the stream engine sees them, and its rules replayed batch by batch.
@@ -331,6 +347,18 @@ ORACLES = {
             "WHERE processed // 100 > before // 100 GROUP BY 1, 2"
         ),
     ),
+    "stream_refits": s.query(
+        _LOOP,
+        "SELECT batch, processed, posts, radius, too_wide, merged, CASE WHEN batch = max(batch) OVER () THEN posts END AS labelled, "
+        "CASE WHEN batch = max(batch) OVER () THEN 1::BIGINT END AS agree FROM ("
+        + _every(
+            f"SELECT batch, processed, posts, {s.r6('greatest(0.2, 0.5 - posts / 10000)')} AS radius, 0::BIGINT AS too_wide, "
+            "(EXISTS (SELECT 1 FROM mem# a JOIN mem# c ON a.post_id < c.post_id WHERE 2 - 2 * list_dot_product(a.u, c.u) <= pow(greatest(0.2, 0.5 - posts / 10000), 2)))::BIGINT AS merged FROM "
+            "(SELECT #::BIGINT AS batch, (SELECT count(*) FROM arr WHERE b <= #) AS processed, (SELECT count(*) FROM arr WHERE b < #) AS before, (SELECT count(*) FROM mem#) AS posts) "
+            f"WHERE processed // {LOOP['refit_every']} > before // {LOOP['refit_every']} AND posts > 100"
+        )
+        + ")",
+    ),
     "keyed_cooldown": s.query([s.VEC, s.DRAFTS, _COOL], "SELECT fingerprint, alert_id, kept FROM cool"),
     "stream_dedupe": s.query([s.POSTS], "SELECT id::VARCHAR AS id, text FROM posts"),
     "stream_stats": s.query(

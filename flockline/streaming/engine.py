@@ -13,6 +13,8 @@ nothing. What a batch reads is bounded by what is alive, not by the history:
   were held back. These are candidates again in the next batch, until the cooldown ends.
 * ``alerts``, ``outbox`` (payloads, one per alert), ``expired``, ``quality`` and
   ``batches`` (counters) are logs: each batch adds its partition and reads none back.
+* ``refits`` logs the new fits of micro clusters, one for every ``refit_every`` posts, and
+  ``labels`` holds the micro cluster of each post that lived at the newest one.
 
 Counters come from observed metrics of the writes themselves, without a second pass.
 """
@@ -28,7 +30,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flockline.functions import constants as K
 from flockline.functions import vectors as vx
 from flockline.operators import alerts as al
-from flockline.operators.clustering import FOLD_ROWS, assign_batch
+from flockline.operators.clustering import FOLD_ROWS, adaptive_radius, assign_batch, feature_centroids, micro_assignment
 from flockline.operators.quality import coherence_of_sums
 from flockline.operators.text import embed_posts, prepare_posts
 from flockline.operators.vectors import topic_match, vector_sums
@@ -52,6 +54,8 @@ OUTBOX = (
     "alert_id string, cluster_id string, topic string, size_text string, similarity_text string, engagement_text string, "
     "period string, posts array<string>"
 )
+LABELS = "post_id string, label string"
+REFITS = "processed bigint, posts bigint, radius double, labels bigint, widest double"
 QUALITY = "processed bigint, clusters bigint, low_clusters bigint, average_coherence double"
 BATCHES = (
     "batch_id bigint, as_of bigint, processed bigint, meaningful bigint, late bigint, repeated bigint, clustered bigint, "
@@ -65,6 +69,8 @@ _NAMES = {
     "pending": PENDING,
     "outbox": OUTBOX,
     "quality": QUALITY,
+    "labels": LABELS,
+    "refits": REFITS,
     "batches": BATCHES,
 }
 
@@ -90,6 +96,8 @@ class StreamEngine:
     window_hours: float = K.WINDOW_SIZE_HOURS
     slide_hours: float = SLIDE_HOURS
     quality_every: int = K.QUALITY_CHECK_INTERVAL
+    refit_every: int = K.REFIT_INTERVAL
+    refit_posts: int = K.REFIT_POSTS  # with no more live posts than these there is nothing to fit
     low_coherence: float = K.MIN_COHERENCE
     embed: object = None  # posts -> posts with ``embedding``; feature hashing by default
     _last: dict = field(default_factory=dict)
@@ -157,6 +165,14 @@ class StreamEngine:
     def quality(self) -> DataFrame:
         return self._log("quality")
 
+    def refits(self) -> DataFrame:
+        return self._log("refits")
+
+    def labels(self) -> DataFrame:
+        """(post_id, label): the micro cluster of each post that lived at the newest fit."""
+        newest = self.refits().agg(F.max("version")).head()[0]
+        return self._read("labels", -1 if newest is None else newest)
+
     def expired(self) -> DataFrame:
         return self._log("expired")
 
@@ -175,6 +191,7 @@ class StreamEngine:
         sent = self._alert(version, now, first)
         total = before["total"] + counts["processed"]
         self._check(version, before["total"], total)
+        self._refit(version, before["total"], total, first)
         row = (
             version, as_of, counts["processed"], counts["meaningful"], fates["late"], fates["repeated"], fates["clustered"],
             fates["new_clusters"], totals["rows"], sent["alerts"], sent["held_back"], total,
@@ -379,6 +396,40 @@ class StreamEngine:
         )
         self._write(found, "quality", version)
 
+    def _refit(self, version: int, before: int, total: int, first: int | None) -> None:
+        """Fit micro clusters to all live posts anew whenever another ``refit_every`` posts were processed.
+
+        Vectors are not stored: they are made again from the texts of live members. Only the
+        newest labels and those before them, which a replay of this batch may show, are kept.
+        """
+        members = self._live_members(first, version + 1)
+        if before // self.refit_every == total // self.refit_every or members is None:
+            return
+        alive = self._read("parts", version).select("cluster_id").distinct()
+        own = members.join(alive, "cluster_id", "left_semi")
+        posts = own.select(F.col("post_id").alias("id"), F.col("joined_at").alias("created_at"), *columns(_POST))
+        embed = self.embed or (lambda rows: embed_posts(rows, self.dim))
+        unit = vx.normalize(vx.doubles(F.col("embedding"))).alias("embedding")
+        live = materialize(embed(prepare_posts(posts)).select("id", "created_at", unit), "live")
+        n = live.count()
+        if n > self.refit_posts:
+            radius = adaptive_radius(n)
+            summaries, labels = micro_assignment(live, radius)
+            old = [v for (v,) in self.refits().select("version").filter(F.col("version") < version).distinct().collect()]
+            self._write(labels, "labels", version)
+            found = feature_centroids(summaries).agg(
+                F.lit(total).cast("bigint").alias("processed"),
+                F.lit(n).cast("bigint").alias("posts"),
+                F.lit(radius).alias("radius"),
+                F.count("*").alias("labels"),
+                F.max("radius").alias("widest"),
+            )
+            self._write(found, "refits", version)
+            for gone in sorted(old)[:-1]:
+                remove(self.spark, self._at("labels", gone))
+            discard(summaries, labels)
+        discard(live)
+
     def start(self, posts: DataFrame, **trigger) -> StreamingQuery:
         """Run over a stream of posts; by default every thirty seconds."""
         every = trigger or {"processingTime": f"{K.PROCESSING_INTERVAL_SECONDS} seconds"}

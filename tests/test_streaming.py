@@ -56,6 +56,23 @@ def test_engine_equals_batches_and_replays(spark, tmp_path):
     assert len(once[2]) == len({a.rsplit("_", 1)[0] for a in once[2]})  # a cluster alerts once
 
 
+def test_refits_keep_their_cadence_and_label_live_posts(spark, tmp_path):
+    e = engine(spark, tmp_path / "r")
+    e.refit_every, e.refit_posts = 15, 10
+    batches = [batch(spark, 0, 12), batch(spark, 12, 9), batch(spark, 21, 5), batch(spark, 26, 6)]
+    for version, posts in enumerate(batches):
+        e.process(posts, version)
+    e.process(batches[3], 3)
+    fits = {r["version"]: (r["processed"], r["posts"]) for r in e.refits().collect()}
+    assert fits == {1: (21, 21), 3: (32, 32)}
+    labels = {int(r["post_id"]) - 1000: r["label"] for r in e.labels().collect()}
+    assert sorted(labels) == list(range(32))
+    own = [{labels[i] for i in range(k, 32, 3)} for k in range(3)]
+    assert not (own[0] & own[1] or own[0] & own[2] or own[1] & own[2])  # themes never share a label
+    assert len(set(labels.values())) < 32
+    assert all(labels[i] == labels[i + 24] for i in range(8))  # equal texts share theirs
+
+
 def test_repeats_and_late_posts_change_nothing_and_windows_leave(spark, tmp_path):
     e = engine(spark, tmp_path / "c")
     e.process(batch(spark, 0, 12), 0)
