@@ -261,7 +261,9 @@ def quality_metrics(stats: DataFrame, processing: DataFrame) -> DataFrame:
     )
 
 
-def processing_metrics(outcomes: DataFrame, quality_check_interval: int = 100) -> DataFrame:
+def processing_metrics(
+    outcomes: DataFrame, quality_check_interval: int = K.QUALITY_CHECK_INTERVAL, refit_interval: int = K.REFIT_INTERVAL
+) -> DataFrame:
     """Counts of a run and the share of posts that joined an existing cluster."""
     clustered = F.count_if(F.col("outcome") == "clustered")
     created = F.count_if(F.col("outcome") == "new_cluster")
@@ -271,6 +273,7 @@ def processing_metrics(outcomes: DataFrame, quality_check_interval: int = 100) -
         clustered.alias("posts_clustered"),
         (created + clustered).alias("posts_assigned"),
         F.floor(F.count("*") / quality_check_interval).alias("quality_checks"),
+        F.floor(F.count("*") / refit_interval).alias("refits"),
         (clustered * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("success_rate"),
     )
 
@@ -297,19 +300,22 @@ def pipeline_counts(posts: DataFrame, alerts: DataFrame, batch: str = "batch") -
 
 
 def text_report(base: DataFrame, stats: DataFrame, processing: DataFrame) -> DataFrame:
-    """The plain summary as rows (section, name, value)."""
+    """The plain summary as rows (section, name, value): processing, clusters, quality, topics with their share, largest clusters."""
 
     def rows(df: DataFrame, section: str, names: list[str]) -> DataFrame:
         pairs = ", ".join(f"'{n}', cast({n} as double)" for n in names)
         return df.selectExpr(f"'{section}' as section", f"stack({len(names)}, {pairs}) as (name, value)")
 
-    topics = topic_distribution(base).select(
-        F.lit("topics").alias("section"), F.col("topic").alias("name"), F.col("clusters").cast("double").alias("value")
-    )
-    largest = top_clusters(base, 5).select(
-        F.lit("top_clusters").alias("section"),
-        F.col("cluster_id").alias("name"),
-        F.col("size").cast("double").alias("value"),
+    def listed(df: DataFrame, name: str, sections: dict[str, str]) -> DataFrame:
+        pairs = ", ".join(f"'{section}', cast({c} as double)" for section, c in sections.items())
+        found = df.selectExpr(f"{name} as name", f"stack({len(sections)}, {pairs}) as (section, value)")
+        return found.select("section", "name", "value")
+
+    topics = listed(topic_distribution(base), "topic", {"topics": "clusters", "topic_share": "percentage"})
+    largest = listed(
+        top_clusters(base, 5),
+        "cluster_id",
+        {"top_clusters": "size", "top_cluster_similarity": "topic_similarity", "top_cluster_coherence": "coherence"},
     )
     return (
         rows(processing, "processing", ["posts_processed", "posts_clustered", "success_rate"])
@@ -321,6 +327,7 @@ def text_report(base: DataFrame, stats: DataFrame, processing: DataFrame) -> Dat
             )
         )
         .unionByName(rows(stats, "quality", ["average_coherence"]))
+        .unionByName(rows(processing, "quality", ["quality_checks", "refits"]))
         .unionByName(topics)
         .unionByName(largest)
     )

@@ -172,7 +172,7 @@ _STATS = """stats AS MATERIALIZED (SELECT count(*) FILTER (status = 'active') AS
   (SELECT coalesce(avg(coherence), 0.0) FROM base WHERE status = 'active') AS average_coherence,
   (SELECT count(*) FROM vec) AS vectors_stored FROM base)"""
 _PROC = """proc AS MATERIALIZED (SELECT count(*) AS posts_processed, count(*) FILTER (outcome = 'new_cluster') AS clusters_created,
-  count(*) FILTER (outcome = 'clustered') AS posts_clustered, count(*) AS posts_assigned, count(*) // 100 AS quality_checks,
+  count(*) FILTER (outcome = 'clustered') AS posts_clustered, count(*) AS posts_assigned, count(*) // 100 AS quality_checks, count(*) // 1000 AS refits,
   count(*) FILTER (outcome = 'clustered') * 100.0::DOUBLE / greatest(count(*), 1) AS success_rate FROM outcomes)"""
 _FIRST = """fp AS (SELECT m.cluster_id, m.rank, p.* FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY joined_at, post_id) AS rank FROM mem) m
   JOIN posts p ON p.id = m.post_id)"""
@@ -280,14 +280,17 @@ ORACLES = {
         f"count(*) FILTER (source = 'src3') AS errors, {s.stamp('max(created_at)')} AS last_processing_time FROM posts GROUP BY 1) LEFT JOIN sent USING (batch)",
     ),
     "text_report": s.query(
-        [*s.REP, _STATS, s.LEADERS, s.OUTCOMES, _PROC],
+        [*s.REP, _STATS, s.LEADERS, s.OUTCOMES, _PROC, "top5 AS (SELECT * FROM base ORDER BY size DESC, cluster_id LIMIT 5)"],
         f"SELECT section, name, {s.r6('value')} AS value FROM ("
         "SELECT 'processing' AS section, 'posts_processed' AS name, posts_processed::DOUBLE AS value FROM proc UNION ALL SELECT 'processing', 'posts_clustered', posts_clustered FROM proc "
         "UNION ALL SELECT 'processing', 'success_rate', success_rate FROM proc UNION ALL SELECT 'clusters', 'total_clusters', total_clusters FROM stats "
         "UNION ALL SELECT 'clusters', 'active_clusters', active_clusters FROM stats UNION ALL SELECT 'clusters', 'large_clusters', large_clusters FROM stats "
         "UNION ALL SELECT 'clusters', 'average_cluster_size', average_cluster_size FROM stats UNION ALL SELECT 'clusters', 'max_cluster_size', max_cluster_size FROM stats "
         "UNION ALL SELECT 'quality', 'average_coherence', average_coherence FROM stats "
+        "UNION ALL SELECT 'quality', 'quality_checks', quality_checks FROM proc UNION ALL SELECT 'quality', 'refits', refits FROM proc "
         "UNION ALL SELECT 'topics', topic, count(*) FROM base WHERE topic IS NOT NULL GROUP BY topic "
-        "UNION ALL (SELECT 'top_clusters', cluster_id, size FROM base ORDER BY size DESC, cluster_id LIMIT 5))",
+        "UNION ALL SELECT 'topic_share', topic, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () FROM base WHERE topic IS NOT NULL GROUP BY topic "
+        "UNION ALL SELECT 'top_clusters', cluster_id, size FROM top5 UNION ALL SELECT 'top_cluster_similarity', cluster_id, topic_similarity FROM top5 "
+        "UNION ALL SELECT 'top_cluster_coherence', cluster_id, coherence FROM top5)",
     ),
 }
