@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -101,3 +102,27 @@ def test_a_small_lexicon_is_broadcast(spark):
     rows = spark.createDataFrame([(1, "good")], "id int, text string")
     plan = to.sentiment(rows, lexicon)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_prepared_posts_are_not_cleaned_twice(spark):
+    """One look at the cleaned words says what cleaning them again says."""
+    texts = ["", None, "a b", ":) :p =D word", "cat 12dog", "x:/yz\u00a0\u2003two  three", "the rt \u0391\u03a31\u0392 \u0130i", "don't -- www.x.co #tag @me", "q\x1cw\tee\n\nrr\x85tt \u0663\u00bd"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    cleaned = tx.remove_stop_words(tx.clean_text(F.col("text")))
+    found = rows.select(tx.has_content(cleaned).alias("once"), tx.is_meaningful(cleaned).alias("twice")).collect()
+    assert [r["once"] for r in found] == [r["twice"] for r in found]
+    assert {r["once"] for r in found} == {True, False}
+
+
+def test_vectors_of_posts_are_counted_in_tasks_that_remember_words(spark):
+    rows = spark.createDataFrame([(1, "cat cat dog"), (2, ""), (3, None)], "id long, cleaned_text string")
+    plan = to.embed_posts(rows, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5" not in plan
+    found = {r["id"]: r["embedding"] for r in to.embed_posts(rows, 8).collect()}
+    expected = [0.0] * 8
+    for word in ("cat", "cat", "dog"):
+        slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16
+        expected[slot % 8] += 1 if slot < 8 else -1
+    size = sum(x * x for x in expected) ** 0.5
+    assert found[1] == [x / size if size else 0.0 for x in expected]
+    assert found[2] == found[3] == [0.0] * 8
