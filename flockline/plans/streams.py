@@ -23,6 +23,7 @@ _ALL_FILES = 1_000_000
 # The loop gets the posts in five batches of about fourteen hours: a tenth of the posts come a
 # batch late, two batches come a second time, and windows and clusters die on the way.
 BATCHES, FILES = 5, 4
+FILE_POSTS, MAX_FILES = 50_000, 400  # above so many posts in all, batches have more files
 LOOP = {
     "threshold": THETA,
     "min_size": 2,
@@ -62,17 +63,27 @@ def stream_window_counts(spark, path):
     return found.select(stamp("window_start").alias("window_start"), stamp("window_end").alias("window_end"), "posts")
 
 
-def _arrivals(t: Tables, out: str) -> None:
-    """The batches as files, one after the other."""
-    posts = running_count(_full_posts(t), ["created_at", "id"]).withColumn("position", F.col("position") - 1)
-    n = t.posts.count()
+def _files(n: int) -> int:
+    """Files of a batch: a few for a few posts, more as there are more, since each is one task."""
+    return min(MAX_FILES, FILES * max(1, n // FILE_POSTS))
+
+
+def _arrivals(t: Tables, out: str) -> int:
+    """The batches as files, one after the other; how many files each has. Texts do not take part in the ordering."""
+    stored = materialize(_full_posts(t).withColumn("row", F.monotonically_increasing_id()), "posts")
+    n = stored.count()
+    placed = running_count(stored.select("row", "created_at", "id"), ["created_at", "id"]).withColumn("position", F.col("position") - 1)
     due = F.floor(F.col("position") * BATCHES / n) + F.when(F.col("id").cast("long") % 10 == 3, 1).otherwise(0)
-    posts = materialize(posts.withColumn("due", F.least(due, F.lit(BATCHES - 1))).drop("position"), "arrivals")
+    placed = placed.select("row", F.least(due, F.lit(BATCHES - 1)).alias("due"))
+    posts = materialize(stored.join(placed, "row").drop("row"), "arrivals")
+    discard(stored)
     again = {3: 2, 4: 0}  # batch 3 brings batch 2 once more, batch 4 brings batch 0
+    files = _files(n)
     for k in range(BATCHES):
         batch = posts.filter(F.col("due").isin([k, again.get(k, k)])).drop("due")
-        write_posts(batch.repartition(FILES), out, mode="append")
+        write_posts(batch.repartition(files), out, mode="append")
     discard(posts)
+    return files
 
 
 def _run_engine(spark, path) -> StreamEngine:
@@ -86,9 +97,9 @@ def _run_engine(spark, path) -> StreamEngine:
 def _loop(spark, path) -> StreamEngine:
     t = Tables(spark, path)
     incoming = scratch_path(spark, "incoming")
-    _arrivals(t, incoming)
+    files = _arrivals(t, incoming)
     engine = StreamEngine(spark, scratch_path(spark, "engine"), t.topics, dim=DIM, **LOOP)
-    engine.start(post_stream(spark, incoming, files_per_trigger=FILES), availableNow=True).awaitTermination()
+    engine.start(post_stream(spark, incoming, files_per_trigger=files), availableNow=True).awaitTermination()
     remove(spark, incoming)
     return engine
 

@@ -399,7 +399,7 @@ class StreamEngine:
     def _refit(self, version: int, before: int, total: int, first: int | None) -> None:
         """Fit micro clusters to all live posts anew whenever another ``refit_every`` posts were processed.
 
-        Vectors are not stored: they are made again from the texts of live members. Only the
+        Vectors are not stored: they are made again from the cleaned texts of live members. Only the
         newest labels and those before them, which a replay of this batch may show, are kept.
         """
         members = self._live_members(first, version + 1)
@@ -407,10 +407,11 @@ class StreamEngine:
             return
         alive = self._read("parts", version).select("cluster_id").distinct()
         own = members.join(alive, "cluster_id", "left_semi")
-        posts = own.select(F.col("post_id").alias("id"), F.col("joined_at").alias("created_at"), *columns(_POST))
+        cleaned = ["cleaned_text", F.lit(True).alias("is_meaningful")]  # as prepare_posts made them when the post came
+        posts = own.select(F.col("post_id").alias("id"), F.col("joined_at").alias("created_at"), *columns(_POST), *cleaned)
         embed = self.embed or (lambda rows: embed_posts(rows, self.dim))
         unit = vx.normalize(vx.doubles(F.col("embedding"))).alias("embedding")
-        live = materialize(embed(prepare_posts(posts)).select("id", "created_at", unit), "live")
+        live = materialize(embed(posts).select("id", "created_at", unit), "live")
         n = live.count()
         if n > self.refit_posts:
             radius = adaptive_radius(n)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flockline.operators import clustering as cl
 from flockline.operators import text as to
+from flockline.plans import streams
 from flockline.streaming import stages as sg
 from flockline.streaming.engine import StreamEngine
 
@@ -126,3 +127,9 @@ def test_stream_prepare_equals_batch(spark, tmp_path):
     got = sg.run_to_table(sg.stream_prepare(stream))
     expected = to.meaningful_posts(to.prepare_posts(posts))
     assert got.exceptAll(expected).count() == 0 and got.count() == expected.count()
+
+
+def test_more_posts_come_in_more_files():
+    """A file is one task: their number follows the posts, and small inputs keep a few."""
+    assert streams._files(0) == streams._files(10_000) == streams.FILES
+    assert streams._files(500_000) == 10 * streams.FILES
