@@ -2,10 +2,12 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from flockline.operators import clustering as cl
+from flockline.operators import kernel
 from flockline.operators import leaders as ld
 from flockline.operators import quality as q
 from flockline.operators import reports as rp
@@ -300,3 +302,22 @@ def test_report_base_carries_labels(spark):
     got = rp.cluster_report_base(clusters, members, table, labels.filter("label = 'of c0'"))
     assert {(r["cluster_id"], r["label"]) for r in got.collect()} == {("c0", "of c0"), ("c1", None)}
     assert [tuple(r) for r in rp.label_distribution(got).collect()] == [("of c0", 1)]
+
+
+def test_sifted_tiles_equal_whole_ones(monkeypatch):
+    """Single precision only leaves pairs out: matches and scores are those of the whole product."""
+    rng = np.random.default_rng(3)
+    vec = rng.standard_normal((400, 16))
+    vec[200:] = vec[:200] + 0.05 * rng.standard_normal((200, 16))
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    ids, ts, slack = np.arange(400), rng.integers(0, 50, 400), rng.uniform(0, 0.5, 400)
+    order = np.lexsort((ids, ts))
+    for rows, rule in [(unit, kernel.Rule(theta=0.7)), (unit, kernel.Rule(theta=0.7, strict=True, earlier=True)), (vec, kernel.Rule(slack=True, earlier=True))]:
+        block = kernel.Block(ids, ts, rows, slack if rule.slack else None, None).part(order)
+        assert kernel._sifted(block, block, rule) is not None
+        sifted = pd.concat(kernel.compare(block, block, rule))
+        with monkeypatch.context() as patched:
+            patched.setattr(kernel, "_sifted", lambda p, h, r: None)
+            whole = pd.concat(kernel.compare(block, block, rule))
+        pd.testing.assert_frame_equal(sifted, whole)
+        assert len(sifted)
