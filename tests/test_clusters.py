@@ -321,3 +321,15 @@ def test_sifted_tiles_equal_whole_ones(monkeypatch):
             whole = pd.concat(kernel.compare(block, block, rule))
         pd.testing.assert_frame_equal(sifted, whole)
         assert len(sifted)
+
+
+def test_tiles_are_small(monkeypatch):
+    """No product that a comparison makes holds more than 16 MB of numbers."""
+    shapes, whole = [], kernel._best_dense
+    monkeypatch.setattr(kernel, "_best_dense", lambda p, h, r: shapes.append((len(p.ids), len(h.ids))) or whole(p, h, r))
+    unit = np.random.default_rng(4).standard_normal((5000, 2))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    block = kernel.Block(np.arange(5000), np.zeros(5000, dtype="int64"), unit, None, None)
+    found = pd.concat(kernel.compare(block, block, kernel.Rule(theta=0.7)))
+    assert max(a * b * 8 for a, b in shapes) <= 16 << 20
+    assert sorted(found["id"]) == list(range(5000))
