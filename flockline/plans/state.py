@@ -14,7 +14,7 @@ from flockline.operators import text as to
 from flockline.operators import windows as wi
 from flockline.plans import sql as s
 from flockline.plans.tables import EXPIRY_HOURS, THETA, Tables, big, stamp
-from flockline.session import scratch_path
+from flockline.session import materialize, scratch_path
 from flockline.sources import posts as ps
 from flockline.sources import state as st
 
@@ -160,6 +160,7 @@ def alert_sink(spark, path):
     t = Tables(spark, path)
     ready = al.alert_candidates(t.clusters, topic_similarity=0.0)
     payload = al.alert_payload(ready, t.members, t.posts).withColumn("alert_id", F.concat(F.lit("alert_"), "cluster_id"))
+    payload = materialize(payload, "payload")
     out = scratch_path(spark, "payloads")
     st.append_alerts(payload, out)
     st.append_alerts(payload, out)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flockline.operators import alerts as al
 from flockline.operators import kernel
 from flockline.operators import windows as wi
+from flockline.plans import state as plan_state
 from flockline.sources import posts as ps
 from flockline.sources import state as st
 
@@ -177,3 +178,21 @@ def test_history_is_read_back_to_the_first_draft_only(spark):
     drafts = spark.createDataFrame([("d", "f", [1.0, 0.0], at(100)), ("e", "g", [0.0, 1.0], at(90))], ALERT)
     history = spark.createDataFrame([("p", "g", [1.0, 0.0], at(66)), ("q", "f", [1.0, 0.0], at(60)), ("r", "f", [1.0, 0.0], None)], ALERT)
     assert kept(al.dedupe_alerts(drafts, history)) == {"d"}
+
+
+def test_payload_joins_lines_instead_of_texts(spark, monkeypatch):
+    clusters = spark.createDataFrame([("a", 2, "T", 0.5, at(0), at(1))], "cluster_id string, size int, topic string, topic_similarity double, created_at timestamp, last_post_at timestamp")
+    members = spark.createDataFrame([("a", 1, at(0)), ("a", 2, at(1))], "cluster_id string, post_id int, joined_at timestamp")
+    posts = spark.createDataFrame([(1, "x" * 300, "u", 1, 0, 0), (2, None, "v", 5, 1, 2)], "id int, text string, author_username string, like_count int, retweet_count int, reply_count int")
+    joined, best = [], al.representative_posts
+    monkeypatch.setattr(al, "representative_posts", lambda m, p, *k: joined.append(p.columns) or best(m, p, *k))
+    row = al.alert_payload(clusters, members, posts).head()
+    assert row["engagement_text"] == "9 interactions" and len(row["posts"]) == 2 and len(row["posts"][1]) < 140
+    assert len(joined) == 1 and "text" not in joined[0]
+
+
+def test_alert_sink_makes_payloads_once(spark, monkeypatch):
+    written, write = [], plan_state.materialize
+    monkeypatch.setattr(plan_state, "materialize", lambda df, name: written.append(name) or write(df, name))
+    found = plan_state.alert_sink(spark, "/root/testdata/sf0.001")
+    assert written == ["payload"] and found.count() == found.select("alert_id").distinct().count() > 0
