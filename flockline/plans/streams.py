@@ -11,6 +11,7 @@ from flockline.plans import tables as tb
 from flockline.plans.state import _full_posts
 from flockline.plans.tables import DIM, Tables, big, r6, stamp
 from flockline.session import discard, materialize, remove, scratch_path
+from flockline.sources.posts import read_posts
 from flockline.sources.posts import stream_posts as post_stream
 from flockline.sources.posts import write_posts
 from flockline.streaming import stages as sg
@@ -42,9 +43,13 @@ _ENGINES: dict[tuple[str, str], StreamEngine] = {}
 
 
 def _stream(t: Tables, files_per_trigger: int = _ALL_FILES, copies: int = 1):
+    """The posts as a stream of files; further ``copies`` are made from the files of the first, not from the tables again."""
     out = scratch_path(t.spark, "incoming")
-    for _ in range(copies):
-        write_posts(_full_posts(t), out, mode="append")
+    write_posts(_full_posts(t), out, compression="gzip")
+    if copies > 1:
+        first = read_posts(t.spark, out)  # the files there are now
+        for _ in range(copies - 1):
+            write_posts(first, out, mode="append", compression="gzip")
     return post_stream(t.spark, out, files_per_trigger=files_per_trigger)
 
 

@@ -26,12 +26,15 @@ def read_posts(
     return reader.option("multiLine", multiline).json(path)
 
 
-def write_posts(posts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_posts(posts: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
     """One JSON object per line, UTF-8, so that readers can split the files.
 
-    Times keep their microseconds; the writer's default format would cut them.
+    Times keep their microseconds; the writer's default format would cut them. With a
+    ``compression`` (gzip) files are small but are read whole, each by one task.
     """
     writer = posts.write.mode(mode).option("encoding", "UTF-8")
+    if compression:
+        writer = writer.option("compression", compression)
     writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 

@@ -133,3 +133,17 @@ def test_more_posts_come_in_more_files():
     """A file is one task: their number follows the posts, and small inputs keep a few."""
     assert streams._files(0) == streams._files(10_000) == streams.FILES
     assert streams._files(500_000) == 10 * streams.FILES
+
+
+def test_copies_of_the_stream_are_made_from_its_files(spark, monkeypatch):
+    """The tables are read for the first copy only, and files are compressed."""
+    times = [START + timedelta(microseconds=1, hours=i) for i in range(20)]
+    rows = spark.createDataFrame([(str(i), f"post \u00fc {i}", times[i]) for i in range(20)], "id string, text string, created_at timestamp")
+    made, paths, write = [], [], streams.write_posts
+    monkeypatch.setattr(streams, "_full_posts", lambda t: made.append(t) or rows)
+    monkeypatch.setattr(streams, "write_posts", lambda p, out, **k: paths.append(out) or write(p, out, **k))
+    streams._stream(streams.Tables(spark, "nowhere"), copies=2)
+    assert len(made) == 1 and len(paths) == 2
+    got = [(r["id"], r["text"], r["created_at"]) for r in streams.read_posts(spark, paths[0]).collect()]
+    assert sorted(got) == sorted(2 * [tuple(r) for r in rows.collect()])
+    assert all(f.endswith(".json.gz") for f in streams.read_posts(spark, paths[0]).inputFiles())
