@@ -333,3 +333,19 @@ def test_tiles_are_small(monkeypatch):
     found = pd.concat(kernel.compare(block, block, kernel.Rule(theta=0.7)))
     assert max(a * b * 8 for a, b in shapes) <= 16 << 20
     assert sorted(found["id"]) == list(range(5000))
+
+
+@pytest.mark.parametrize("block_rows", [None, 16])
+def test_pairs_of_asked_posts(spark, monkeypatch, block_rows):
+    """Pairs of the posts asked for are those among all pairs, once each; no table holds the copies of the rows."""
+    table = vectors(spark, bursts(seed=3, n=300, groups=20, dim=16, noise=0.06))
+    asked = lambda c: F.col(c) % 5 == 0
+    whole = {tuple(r) for r in vo.similar_post_join(table, 0.9).collect()}
+    expected = {r for r in whole if r[0] % 5 == 0 or r[1] % 5 == 0}
+    got = [tuple(r) for r in vo.similar_post_join(table, 0.9, asked, block_rows=block_rows, broadcast_rows=block_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) < len(whole)
+    written, write = [], kernel.materialize
+    monkeypatch.setattr(kernel, "materialize", lambda df, name="stage": written.append(name) or write(df, name))
+    found = [tuple(r) for r in vo.similar_post_candidates(table, 0.9, bits=6, asked=asked, block_rows=block_rows).collect()]
+    assert len(found) == len(set(found)) and set(found) <= expected and len(found) >= 0.95 * len(expected)
+    assert written == ["grid"]
