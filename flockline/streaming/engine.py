@@ -8,7 +8,7 @@ nothing. What a batch reads is bounded by what is alive, not by the history:
   window. A window that grows too old leaves by dropping its parts; a cluster that lost
   posts lives on with the sums of its other parts, or expires if too few posts are left.
 * ``members`` is partitioned by window and version. Only live windows are read: to find
-  posts that came before, and the words and texts of clusters that alert.
+  posts that came before, the words and texts of clusters that alert, and the vectors for a new fit.
 * ``recent`` holds the alerts that still block others, ``pending`` the candidates that
   were held back. These are candidates again in the next batch, until the cooldown ends.
 * ``alerts``, ``outbox`` (payloads, one per alert), ``expired``, ``quality`` and
@@ -16,13 +16,17 @@ nothing. What a batch reads is bounded by what is alive, not by the history:
 * ``refits`` logs the new fits of micro clusters, one for every ``refit_every`` posts, and
   ``labels`` holds the micro cluster of each post that lived at the newest one.
 
-Counters come from observed metrics of the writes themselves, without a second pass.
+Counters come from observed metrics of the writes themselves, without a second pass. Once a
+batch is placed, alerts, coherence and the new fit read its tables and write their own: they run
+side by side, so that the small jobs of one do not wait for those of another.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,6 +48,7 @@ PARTS = (
     "created_at timestamp, last_post_at timestamp, alert_sent boolean"
 )
 MEMBERS = f"cluster_id string, post_id string, joined_at timestamp, similarity double, leads boolean, cleaned_text string, {_POST}"
+VECTORS = "vec array<double>"  # unit vectors of members, read by new fits alone
 EXPIRED = "cluster_id string, n bigint, created_at timestamp, last_post_at timestamp, cause string"
 ALERTS = (
     "alert_id string, cluster_id string, topic string, keywords array<string>, fingerprint string, "
@@ -188,10 +193,12 @@ class StreamEngine:
         alive, dead = self._retract(version, first)
         placed, fates = self._place(rows, alive, first, version, counts["meaningful"])
         totals = self._settle(alive, dead, placed, now, version)
-        sent = self._alert(version, now, first)
         total = before["total"] + counts["processed"]
-        self._check(version, before["total"], total)
-        self._refit(version, before["total"], total, first)
+        sent, _, _ = self._beside(
+            lambda: self._alert(version, now, first),
+            lambda: self._check(version, before["total"], total),
+            lambda: self._refit(version, before["total"], total, first),
+        )
         row = (
             version, as_of, counts["processed"], counts["meaningful"], fates["late"], fates["repeated"], fates["clustered"],
             fates["new_clusters"], totals["rows"], sent["alerts"], sent["held_back"], total,
@@ -202,6 +209,12 @@ class StreamEngine:
             remove(self.spark, self._at(name, version - 2))
         self._last = {"version": version, "as_of": as_of, "total": total}
 
+    def _beside(self, *steps) -> list:
+        """Results of steps that do not read one another's tables, run at the same time; the first failure is raised."""
+        with ThreadPoolExecutor(len(steps)) as pool:
+            running = [pool.submit(inheritable_thread_target(self.spark)(step)) for step in steps]
+        return [r.result() for r in running]
+
     def _before(self, version: int) -> dict:
         """Event time and number of posts up to a version."""
         if self._last.get("version") == version - 1 and "total" in self._last:
@@ -274,7 +287,7 @@ class StreamEngine:
         root = f"{self.path}/members"
         if first is None or not exists(self.spark, root):
             return None
-        found = self.spark.read.schema(f"{MEMBERS}, window_id bigint, version bigint").parquet(root)
+        found = self.spark.read.schema(f"{MEMBERS}, {VECTORS}, window_id bigint, version bigint").parquet(root)
         return found.filter((F.col("window_id") >= first) & (F.col("version") < before))
 
     def _place(self, rows: DataFrame, alive: DataFrame, first: int | None, version: int, n: int) -> tuple[DataFrame, dict]:
@@ -306,7 +319,7 @@ class StreamEngine:
         )
         counts = [F.count_if("leads").alias("new_clusters"), F.count_if(~F.col("leads")).alias("clustered")]
         placed = materialize(placed.observe(outcome, *counts), "placed")
-        log = placed.select(*columns(MEMBERS), "window_id", F.lit(version).cast("bigint").alias("version"))
+        log = placed.select(*columns(MEMBERS), "vec", "window_id", F.lit(version).cast("bigint").alias("version"))
         # A replay places the same posts again, so it overwrites just its own partitions.
         writer = log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("window_id", "version").parquet(f"{self.path}/members")
@@ -366,7 +379,7 @@ class StreamEngine:
                 self._write(past, "recent", version)
             discard(ready)
             return {"alerts": 0, "held_back": 0}
-        own = self._live_members(first, version + 1).join(F.broadcast(ready.select("cluster_id")), "cluster_id", "left_semi")
+        own = self._live_members(first, version + 1).drop("vec").join(F.broadcast(ready.select("cluster_id")), "cluster_id", "left_semi")
         live = materialize(own, "own")
         drafts = materialize(al.alert_drafts(ready, al.cluster_keywords(live), now), "drafts")
         deduped = materialize(al.dedupe_alerts(drafts, past, self.duplicate_similarity, self.cooldown_hours), "deduped")
@@ -399,19 +412,16 @@ class StreamEngine:
     def _refit(self, version: int, before: int, total: int, first: int | None) -> None:
         """Fit micro clusters to all live posts anew whenever another ``refit_every`` posts were processed.
 
-        Vectors are not stored: they are made again from the cleaned texts of live members. Only the
-        newest labels and those before them, which a replay of this batch may show, are kept.
+        It reads the vectors stored with the live members. Only the newest labels and those before
+        them, which a replay of this batch may show, are kept.
         """
         members = self._live_members(first, version + 1)
         if before // self.refit_every == total // self.refit_every or members is None:
             return
         alive = self._read("parts", version).select("cluster_id").distinct()
-        own = members.join(alive, "cluster_id", "left_semi")
-        cleaned = ["cleaned_text", F.lit(True).alias("is_meaningful")]  # as prepare_posts made them when the post came
-        posts = own.select(F.col("post_id").alias("id"), F.col("joined_at").alias("created_at"), *columns(_POST), *cleaned)
-        embed = self.embed or (lambda rows: embed_posts(rows, self.dim))
-        unit = vx.normalize(vx.doubles(F.col("embedding"))).alias("embedding")
-        live = materialize(embed(posts).select("id", "created_at", unit), "live")
+        own = members.select("cluster_id", "post_id", "joined_at", "vec").join(alive, "cluster_id", "left_semi")
+        live = own.select(F.col("post_id").alias("id"), F.col("joined_at").alias("created_at"), F.col("vec").alias("embedding"))
+        live = materialize(live, "live")
         n = live.count()
         if n > self.refit_posts:
             radius = adaptive_radius(n)

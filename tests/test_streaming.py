@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from flockline.operators import clustering as cl
@@ -147,3 +148,18 @@ def test_copies_of_the_stream_are_made_from_its_files(spark, monkeypatch):
     got = [(r["id"], r["text"], r["created_at"]) for r in streams.read_posts(spark, paths[0]).collect()]
     assert sorted(got) == sorted(2 * [tuple(r) for r in rows.collect()])
     assert all(f.endswith(".json.gz") for f in streams.read_posts(spark, paths[0]).inputFiles())
+
+
+def test_refits_read_stored_vectors(spark, tmp_path):
+    """A post is embedded once, when it comes; steps beside each other give their results or raise."""
+    e = engine(spark, tmp_path)
+    e.refit_every, e.refit_posts = 10, 5
+    calls = []
+    e.embed = lambda posts: calls.append(1) or to.embed_posts(posts, 64)
+    for version in range(2):
+        e.process(batch(spark, 12 * version, 12), version)
+    assert len(calls) == 2 and e.refits().count() == 2 and e.labels().count() == 24
+    assert "vec" not in e.members().columns
+    assert e._beside(lambda: 1, lambda: 2) == [1, 2]
+    with pytest.raises(ZeroDivisionError):
+        e._beside(lambda: 1, lambda: 1 // 0)
