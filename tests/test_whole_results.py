@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flockline.operators import alerts, clustering, quality
+from flockline.plans import reports as report_plans
 from flockline.session import discard, materialize
 from flockline.sources import state
 from flockline.streaming import stages
@@ -155,3 +156,23 @@ def test_parameters_travel_with_a_snapshot(spark, tmp_path):
     state.snapshot_state(tables, str(tmp_path / "whole"), 7)
     found = state.restore_state(spark, str(tmp_path / "whole"))
     assert len(found) == 6 and state.state_parameters(found) == {"threshold": 0.7, "names": ["a"], "note": None}
+
+
+def test_summary_cleans_clustered_posts_only(spark, tmp_path, monkeypatch):
+    """Texts of posts without a cluster are not cleaned; words and summaries are those of the clusters."""
+    start = datetime(2024, 1, 1)
+    documents = [(i, f"network outage region{i} storage failure", "web") for i in range(1, 8)]
+    events = [(i, start + timedelta(hours=i), 7, "click", 9.0) for i in range(1, 8)]
+    given = [(i, [1.0, float(i)] + [0.0] * 62, 0) for i in (2, 5)]
+    tables = {
+        "documents": spark.createDataFrame(documents, "doc_id bigint, text string, source string"),
+        "events": spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"),
+        "embeddings": spark.createDataFrame(given, "vec_id bigint, embedding array<double>, label int"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    cleaned, clean = [], report_plans.to.prepare_posts
+    monkeypatch.setattr(report_plans.to, "prepare_posts", lambda posts: cleaned.append(posts) or clean(posts))
+    (row,) = report_plans.cluster_summary(spark, str(tmp_path)).collect()
+    assert row["cluster_id"] == "c0-click" and "network" in row["summary"] and "outage" in row["summary"]
+    assert [sorted(r["id"] for r in p.select("id").collect()) for p in cleaned] == [[2, 5]]
