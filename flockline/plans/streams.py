@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from flockline.functions import vectors as vx
@@ -80,14 +83,16 @@ def _arrivals(t: Tables, out: str) -> int:
     placed = running_count(stored.select("row", "created_at", "id"), ["created_at", "id"]).withColumn("position", F.col("position") - 1)
     due = F.floor(F.col("position") * BATCHES / n) + F.when(F.col("id").cast("long") % 10 == 3, 1).otherwise(0)
     placed = placed.select("row", F.least(due, F.lit(BATCHES - 1)).alias("due"))
-    posts = materialize(stored.join(placed, "row").drop("row"), "arrivals")
+    arranged, folder = stored.join(placed, "row").drop("row"), scratch_path(t.spark, "arrivals")
+    arranged.write.partitionBy("due").parquet(folder)  # a batch reads its own part
+    posts = t.spark.read.schema(arranged.schema).parquet(folder)
     discard(stored)
     again = {3: 2, 4: 0}  # batch 3 brings batch 2 once more, batch 4 brings batch 0
     files = _files(n)
     for k in range(BATCHES):
         batch = posts.filter(F.col("due").isin([k, again.get(k, k)])).drop("due")
         write_posts(batch.repartition(files), out, mode="append")
-    discard(posts)
+    remove(t.spark, folder)
     return files
 
 
@@ -102,8 +107,11 @@ def _run_engine(spark, path) -> StreamEngine:
 def _loop(spark, path) -> StreamEngine:
     t = Tables(spark, path)
     incoming = scratch_path(spark, "incoming")
-    files = _arrivals(t, incoming)
-    engine = StreamEngine(spark, scratch_path(spark, "engine"), t.topics, dim=DIM, **LOOP)
+    folder, topics = scratch_path(spark, "engine"), t.topics
+    with ThreadPoolExecutor(1) as pool:  # topics are embedded, by the first Python workers to start, while posts are laid out
+        made = pool.submit(inheritable_thread_target(spark)(lambda: StreamEngine(spark, folder, topics, dim=DIM, **LOOP)))
+        files = _arrivals(t, incoming)
+    engine = made.result()
     engine.start(post_stream(spark, incoming, files_per_trigger=files), availableNow=True).awaitTermination()
     remove(spark, incoming)
     return engine

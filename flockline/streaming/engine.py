@@ -192,7 +192,7 @@ class StreamEngine:
         first = None if as_of is None else self._first_live(as_of)
         alive, dead = self._retract(version, first)
         placed, fates = self._place(rows, alive, first, version, counts["meaningful"])
-        totals = self._settle(alive, dead, placed, now, version)
+        totals, _ = self._beside(lambda: self._settle(alive, dead, placed, now, version), lambda: self._keep_members(placed, version))
         total = before["total"] + counts["processed"]
         sent, _, _ = self._beside(
             lambda: self._alert(version, now, first),
@@ -291,7 +291,7 @@ class StreamEngine:
         return found.filter((F.col("window_id") >= first) & (F.col("version") < before))
 
     def _place(self, rows: DataFrame, alive: DataFrame, first: int | None, version: int, n: int) -> tuple[DataFrame, dict]:
-        """Members of the batch with their vectors, written, and what became of its posts.
+        """Members of the batch with their vectors, and what became of its posts.
 
         Posts of windows that have left are late. Of a repeated id the earliest row counts;
         an id that a live window already holds is left out.
@@ -304,12 +304,11 @@ class StreamEngine:
         known = self._live_members(first, version)
         if known is not None:
             fresh = fresh.join(known.select(F.col("post_id").alias("id")).distinct(), "id", "left_anti")
-        fresh = materialize(fresh, "fresh")
-        late_rows, all_rows = fates.get["late"], fates.get["rows"]
         homes = self._whole(alive).select(
             F.col("cluster_id").alias("id"), F.lit(0).cast("bigint").alias("ts"), vx.normalize(F.col("linear_sum")).alias("vec")
         )
-        homes = materialize(homes, "homes")
+        fresh, homes = self._beside(lambda: materialize(fresh, "fresh"), lambda: materialize(homes, "homes"))
+        late_rows, all_rows = fates.get["late"], fates.get["rows"]
         counted = None if n > FOLD_ROWS else n
         chosen = assign_batch(homes, fresh.select("id", "ts", "vec"), self.threshold, counted=counted)
         outcome = Observation()
@@ -319,15 +318,18 @@ class StreamEngine:
         )
         counts = [F.count_if("leads").alias("new_clusters"), F.count_if(~F.col("leads")).alias("clustered")]
         placed = materialize(placed.observe(outcome, *counts), "placed")
-        log = placed.select(*columns(MEMBERS), "vec", "window_id", F.lit(version).cast("bigint").alias("version"))
-        # A replay places the same posts again, so it overwrites just its own partitions.
-        writer = log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("window_id", "version").parquet(f"{self.path}/members")
         discard(fresh, homes)
         done = outcome.get
         repeated = all_rows - late_rows - done["new_clusters"] - done["clustered"]
         return placed, {"late": late_rows, "repeated": repeated, **done}
 
+    def _keep_members(self, placed: DataFrame, version: int) -> None:
+        """Write the members of the batch with their vectors."""
+        log = placed.select(*columns(MEMBERS), "vec", "window_id", F.lit(version).cast("bigint").alias("version"))
+        # A replay places the same posts again, so it overwrites just its own partitions.
+        writer = log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("window_id", "version").parquet(f"{self.path}/members")
+
     def _settle(self, alive: DataFrame, dead: DataFrame, placed: DataFrame, now: Column, version: int) -> dict:
         """Write the parts of the live clusters and the clusters that ended now."""
         key = F.struct("cluster_id", "window_id").alias("key")
@@ -353,11 +355,11 @@ class StreamEngine:
         )
         merged = materialize(merged, "merged")
         old = is_expired(now, self.expiry_hours)
-        self._write(merged.filter(~old), "parts", version)
         ended = merged.filter(old).groupBy("cluster_id").agg(
             F.sum("n").alias("n"), F.min("created_at").alias("created_at"), F.max("last_post_at").alias("last_post_at")
         )
-        gone = self._write(dead.unionByName(ended.withColumn("cause", F.lit("age"))), "expired", version)
+        dead = dead.unionByName(ended.withColumn("cause", F.lit("age")))
+        gone, _ = self._beside(lambda: self._write(dead, "expired", version), lambda: self._write(merged.filter(~old), "parts", version))
         discard(merged)
         return gone
 
@@ -385,15 +387,18 @@ class StreamEngine:
         deduped = materialize(al.dedupe_alerts(drafts, past, self.duplicate_similarity, self.cooldown_hours), "deduped")
         recorded = al.record_alerts(deduped, self.duplicate_similarity)
         kept = self._write(recorded, "alerts", version)["rows"]
-        held = self._write(deduped.filter("NOT kept"), "pending", version)["rows"]
         fresh = self._read("alerts", version)
-        self._write(past.select(*columns(ALERTS)).unionByName(fresh.select(*columns(ALERTS))), "recent", version)
+        recent = past.select(*columns(ALERTS)).unionByName(fresh.select(*columns(ALERTS)))
         posts = live.withColumnRenamed("post_id", "id").select("id", *columns(_POST))
         chosen = ready.join(fresh.select("cluster_id", "alert_id"), "cluster_id")
         sheet = al.alert_payload(chosen, live, posts).join(fresh.select("cluster_id", "alert_id"), "cluster_id")
-        self._write(sheet, "outbox", version)
+        held, _, _ = self._beside(
+            lambda: self._write(deduped.filter("NOT kept"), "pending", version),
+            lambda: self._write(recent, "recent", version),
+            lambda: self._write(sheet, "outbox", version),
+        )
         discard(ready, live, drafts, deduped)
-        return {"alerts": kept, "held_back": held}
+        return {"alerts": kept, "held_back": held["rows"]}
 
     def _check(self, version: int, before: int, total: int) -> None:
         """Coherence of the live clusters whenever another ``quality_every`` posts were processed."""
