@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockline.functions import vectors as vx
@@ -76,14 +77,29 @@ def _files(n: int) -> int:
     return min(MAX_FILES, FILES * max(1, n // FILE_POSTS))
 
 
+def _cuts(stored: DataFrame, n: int) -> list[tuple]:
+    """The first row of each batch but the first, in the order of arrival; ``row`` orders equal times and ids."""
+    order = ["created_at", "id", "row"]
+    places = [-(-k * n // BATCHES) + 1 for k in range(1, BATCHES)]
+    placed = running_count(stored.select(*order), order).filter(F.col("position").isin(places))
+    return [tuple(r) for r in placed.orderBy("position").select(F.unix_micros("created_at"), "id", "row", "position").collect()]
+
+
 def _arrivals(t: Tables, out: str) -> int:
-    """The batches as files, one after the other; how many files each has. Texts do not take part in the ordering."""
+    """The batches as files, one after the other; how many files each has.
+
+    Texts do not take part in the ordering: a post finds its batch by the first rows of the batches.
+    """
     stored = materialize(_full_posts(t).withColumn("row", F.monotonically_increasing_id()), "posts")
     n = stored.count()
-    placed = running_count(stored.select("row", "created_at", "id"), ["created_at", "id"]).withColumn("position", F.col("position") - 1)
-    due = F.floor(F.col("position") * BATCHES / n) + F.when(F.col("id").cast("long") % 10 == 3, 1).otherwise(0)
-    placed = placed.select("row", F.least(due, F.lit(BATCHES - 1)).alias("due"))
-    arranged, folder = stored.join(placed, "row").drop("row"), scratch_path(t.spark, "arrivals")
+    own = F.struct(F.unix_micros("created_at").alias("t"), F.col("id").alias("i"), F.col("row").alias("r"))
+    batch = F.lit(0)
+    for cut in _cuts(stored, n):
+        first = F.struct(*[F.lit(x).cast(kind).alias(c) for x, kind, c in zip(cut, ("bigint", "string", "bigint"), "tir")])
+        steps = sum(-(-k * n // BATCHES) + 1 == cut[3] for k in range(1, BATCHES))  # of fewer posts than batches
+        batch = batch + F.when(own >= first, steps).otherwise(0)
+    due = F.least(batch + F.when(F.col("id").cast("long") % 10 == 3, 1).otherwise(0), F.lit(BATCHES - 1))
+    arranged, folder = stored.withColumn("due", due).drop("row"), scratch_path(t.spark, "arrivals")
     arranged.write.partitionBy("due").parquet(folder)  # a batch reads its own part
     posts = t.spark.read.schema(arranged.schema).parquet(folder)
     discard(stored)
