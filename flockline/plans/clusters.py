@@ -9,6 +9,7 @@ from flockline.functions import vectors as vx
 from flockline.operators import clustering as cl
 from flockline.plans import sql as s
 from flockline.plans.tables import DIM, THETA, Tables, big, r6, stamp
+from flockline.session import materialize
 
 MICRO_RADIUS = 0.9
 ECHOES = 3  # copies of a vector in the fixture of near copies
@@ -101,7 +102,7 @@ def _echo_labels(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def micro_members(spark, path):
     """The micro cluster of each post: an echo shares that of its original and of nothing else."""
-    found = cl.micro_members(_echoes(Tables(spark, path)), ECHO_RADIUS)
+    found = cl.micro_members(materialize(_echoes(Tables(spark, path)), "echoes"), ECHO_RADIUS)
     sizes = found.groupBy("label").agg(F.count("*").alias("n"))
     return found.join(sizes, "label").select("post_id", "label", "n")
 

@@ -349,3 +349,44 @@ def test_pairs_of_asked_posts(spark, monkeypatch, block_rows):
     found = [tuple(r) for r in vo.similar_post_candidates(table, 0.9, bits=6, asked=asked, block_rows=block_rows).collect()]
     assert len(found) == len(set(found)) and set(found) <= expected and len(found) >= 0.95 * len(expected)
     assert written == ["grid"]
+
+
+def test_near_copies_are_folded_in_one_bucket(spark, monkeypatch):
+    """Beyond one bucket rows are dealt by direction, not by a hash of the id; a hot direction is still cut."""
+    monkeypatch.setattr(cl, "BUCKET_ROWS", 40)
+    rows = [v * (1 + k * 0.05) for v in np.eye(16) for k in range(10)]
+    local, members = cl._local_summaries(vectors(spark, rows), 0.04)
+    assert {(r["id"], r["n"]) for r in local.collect()} == {(10 * k, 10) for k in range(16)}
+    assert {(r["post_id"], r["label"]) for r in members.collect()} == {(i, i // 10 * 10) for i in range(160)}
+    hot = cl._directions(spark.createDataFrame([(0, i, [1.0, 0.0]) for i in range(200)], "ts bigint, id bigint, vec array<double>"), 200)
+    sizes = [r["count"] for r in hot.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 200 and len(sizes) == 5 and max(sizes) < 80
+
+
+def test_later_rounds_compare_what_moved(spark):
+    """Owners among all summaries, and among those that moved and what they match, are the same."""
+    limit = 0.25
+    points = bursts(seed=3, n=120, groups=30, dim=8, noise=0.08)
+    rows = spark.createDataFrame([(i, i, 1, v.tolist(), 1.0) for i, v in enumerate(points)], "id bigint, ts bigint, n bigint, linear_sum array<double>, square_sum double")
+    nodes = cl._summary_nodes(rows, limit)
+    first = cl._owners(nodes)
+    moved = first.filter("id <> owner").select(F.col("owner").alias("id")).distinct()
+    nodes = cl._summary_nodes(cl._united(nodes, first), limit)
+    n = nodes.count()
+    assert 0 < moved.count() < n < 120
+    whole, part = (dict(map(tuple, cl._owners(nodes, m).collect())) for m in (None, moved))
+    assert whole == part and len(part) == n
+
+
+def test_cells_beyond_a_plane_are_left_out(spark):
+    """Probes go to far fewer cells than distances to pivots alone would name, and every pair is found."""
+    points = np.random.default_rng(7).normal(size=(600, 24))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points = np.concatenate([points, points * 1.02 + 0.001])
+    rows = spark.createDataFrame([(i, 0, v.tolist(), 0.04) for i, v in enumerate(points)], "id bigint, ts bigint, vec array<double>, slack double")
+    rule = kernel.Rule(slack=True, keep="all")
+    _, probes = kernel._metric_cells(rows, rows, rule, 1200, 100, 0.2)
+    assert probes.count() < 0.5 * 1200 * 96
+    got = {(r["id"], r["match_id"]) for r in kernel.match_rows(rows, rows, rule, block_rows=100, broadcast_rows=0).collect()}
+    d2 = ((points[:, None] - points[None]) ** 2).sum(2)
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(d2 <= 0.04 + 1e-12))}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flockline.operators import clustering as cl
 from flockline.operators import text as to
+from flockline.operators.windows import running_count
 from flockline.plans import streams
 from flockline.streaming import stages as sg
 from flockline.streaming.engine import StreamEngine
@@ -163,3 +164,22 @@ def test_refits_read_stored_vectors(spark, tmp_path):
     assert e._beside(lambda: 1, lambda: 2) == [1, 2]
     with pytest.raises(ZeroDivisionError):
         e._beside(lambda: 1, lambda: 1 // 0)
+
+
+def test_batches_are_found_by_their_first_rows(spark, tmp_path, monkeypatch):
+    """Five batches by time and id, a tenth late, two repeated; also for rows without a time, equal rows and few posts."""
+    narrow, batches, write = [], [], streams.write_posts
+    monkeypatch.setattr(streams, "running_count", lambda df, order: narrow.append(df.columns) or running_count(df, order))
+    monkeypatch.setattr(streams, "write_posts", lambda p, out, **k: batches.append(p.select("id", "created_at").collect()) or write(p, out, **k))
+    for n in (3, 47):
+        when = lambda i: None if i % 11 == 0 else START + timedelta(hours=i * 7 % 13, microseconds=i % 2)
+        rows = [(str(i // 2), f"text {i}", when(i - i % 4 // 3)) for i in range(n)]
+        posts = spark.createDataFrame(rows, "id string, text string, created_at timestamp")
+        monkeypatch.setattr(streams, "_full_posts", lambda t, posts=posts: posts)
+        batches.clear()
+        streams._arrivals(streams.Tables(spark, "nowhere"), str(tmp_path / f"in{n}"))
+        order = sorted(((i, t) for i, _, t in rows), key=lambda r: (r[1] is not None, r[1], r[0]))
+        due = [min(4, p * 5 // n + (int(r[0]) % 10 == 3)) for p, r in enumerate(order)]
+        expected = [[r for r, d in zip(order, due) if d in (k, {3: 2, 4: 0}.get(k))] for k in range(5)]
+        assert [sorted(map(repr, map(tuple, b))) for b in batches] == [sorted(map(repr, b)) for b in expected]
+    assert narrow == 2 * [["created_at", "id", "row"]]

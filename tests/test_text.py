@@ -126,3 +126,36 @@ def test_vectors_of_posts_are_counted_in_tasks_that_remember_words(spark):
     size = sum(x * x for x in expected) ** 0.5
     assert found[1] == [x / size if size else 0.0 for x in expected]
     assert found[2] == found[3] == [0.0] * 8
+
+
+def test_posts_are_cleaned_in_tasks_as_in_the_jvm(spark):
+    """Each kind of character, and odd texts: the same words by the Arrow task and by the functions on columns."""
+    points = [*range(1, 0x3100), 0xFEFF, 0xFF10, 0xFF21, 0x104A0, 0x10400, 0x11F50, 0x16AC0, 0x1D7CE, 0x1E4F0, 0x1F600]
+    texts = [f"ab{chr(c)}cd {chr(c)} X{chr(c)}:) #{chr(c)}t{chr(c)}#u @{chr(c)} three" for c in points]
+    texts += ["", None, "#", "RT :D =P p-p:=( d:", "http://x.y www.a the THE 4word", "a\x1cb \x1d c", "ΑΣ İi"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    made = to.prepare_posts(rows)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    cleaned = tx.remove_stop_words(tx.clean_text(F.col("text")))
+    bad = made.filter(~F.col("cleaned_text").eqNullSafe(cleaned) | ~F.col("is_meaningful").eqNullSafe(tx.has_content(cleaned)))
+    assert bad.select("id").collect() == []
+
+
+def test_words_are_counted_in_blocks(spark, monkeypatch):
+    """A block of texts, and a task that forgets words, give the vectors of one text after the other."""
+    texts = [" ".join(f"w{j * i % 17}" for j in range(i)) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "id long, cleaned_text string")
+    whole = to.embed_posts(rows, 8).orderBy("id").collect()
+    monkeypatch.setattr(to, "COUNTS", 48)
+    monkeypatch.setattr(to, "KNOWN_WORDS", 3)
+    assert to.embed_posts(rows, 8).orderBy("id").collect() == whole
+
+
+def test_entities_of_texts_with_odd_spaces_and_signs(spark):
+    texts = ["#a b#c #d#e #f", "# #", "", None, "x\n#g\u0085#h", "@me @@you mail@x.co", "see https://x.co/a?q and www.b.de", "HTTP://no www,"]
+    row = to.post_entities(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")).orderBy("id").collect()
+    assert [r["hashtags"] for r in row] == [["a", "d#e", "f"], ["", ""], [], None, ["g", "h"], [], [], []]
+    assert [r["mentions"] for r in row] == [[], [], [], None, [], ["me", "you", "x"], [], []]
+    assert [r["urls"] for r in row] == [[], [], [], None, [], [], ["https://x.co/a?q", "www.b.de"], []]
+    plan = to.post_entities(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan  # no array of all words
